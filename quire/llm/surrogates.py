@@ -1,0 +1,197 @@
+"""Personal data replaced by keyed surrogates, in SQL expressions only.
+
+An entity is (kind, canonical form): spelling variants of one address or number are one entity, a given name and a surname
+are entities each. The surrogate is drawn from a keyed digest and has the entity's type and format: letters become letters,
+digits digits, cards keep a valid check digit, names keep gender (from the form of address) and script. It depends on key
+and entity alone, so an entity has one surrogate in the whole corpus (coreference). Entities are collected once; where two of
+a kind draw the same surrogate, or one that is a real entity, all but the first draw again until all differ (distinctness).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quire.llm import common as C
+
+#: Forms of address with the gender that they tell.
+MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "Господин", "г-н")
+FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Madam", "Госпожа", "г-жа")
+NEUTRAL = ("Dr", "Prof", "Доктор")
+#: Given names by script and gender, and syllables for surnames by script.
+GIVEN = {
+    ("latin", "m"): "Adam Alan Albert Anton Arthur Bruno Carl Daniel David Edgar Emil Erik Felix Frank Georg Hugo Ivan Jakob Julian Karl Leo Lucas Martin Max Nils Oscar Paul Peter Robert Simon Theo Victor".split(),
+    ("latin", "f"): "Ada Alice Anna Berta Carla Clara Diana Edith Ella Emma Eva Flora Greta Hanna Helena Ida Irene Julia Laura Lena Lucia Maria Martha Nina Nora Olga Paula Rosa Sara Sofia Vera Zoe".split(),
+    ("latin", "n"): "Alex Andrea Ariel Chris Dana Jamie Jean Jo Kim Kris Lee Max Micha Noa Pat Quinn Robin Sam Sascha Toni".split(),
+    ("cyrillic", "m"): "Алексей Андрей Антон Борис Виктор Глеб Денис Егор Иван Игорь Кирилл Лев Максим Никита Олег Павел Роман Семён Тимур Юрий".split(),
+    ("cyrillic", "f"): "Алина Анна Вера Дарья Ева Елена Зоя Инна Ирина Кира Лидия Мария Нина Ольга Полина Раиса София Тамара Ульяна Юлия".split(),
+    ("cyrillic", "n"): "Саша Женя Валя Слава Тоня Шура Вася Паша".split(),
+}
+SYLLABLES = {
+    "latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma me mo na ne no pa pe po ra re ro sa se so ta te to va ve wa we".split(),
+    "cyrillic": "ба бо ва во га го да до за зо ка ко ла ло ма мо на но па по ра ро са со та то фа фо ха хо".split(),
+}
+_TITLE = r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True)) + r")\.? "
+_NAME = r"\p{Lu}[\p{L}\p{M}'’-]{1,40}"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Kinds in the order in which they are tried at a place.
+PATTERNS = {
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
+    "aws_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "hex_secret": r"(?<![A-Za-z0-9])(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,128}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": r"(?:(?<!\d)\+\d{1,3}[ .-]?|(?<![\d+]))(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .-]\(?\d{1,5}\)?){2,5}(?!\d)|(?<!\d)\+\d{8,15}(?!\d)",
+    "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
+    "name": _TITLE + _NAME + rf"(?: {_NAME})?",
+}
+ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_LOOSE = "[ .()+-]"
+
+
+def _suspect(text: Column) -> Column:
+    """Cheap and lossless: every pattern has a digit, an @ or a form of address."""
+    some = F.length(F.translate(text, "0123456789@", "")) < F.length(text)
+    for title in (*MALE, *FEMALE, *NEUTRAL):
+        some = some | text.contains(title)
+    return some
+
+
+def _kind(value: Column) -> Column:
+    """The first pattern that the whole value fits, its surroundings not being there."""
+    out = F.when(value.rlike(f"^(?:{_TITLE})"), "name").when(value.contains("@"), "email").when(value.rlike("^AKIA[0-9A-Z]{16}$"), "aws_key")
+    out = out.when(value.rlike("^[0-9a-fA-F]{32,128}$") & value.rlike("[a-fA-F]"), "hex_secret").when(value.rlike("^[A-Z]{2}"), "iban")
+    return out.when(value.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip").when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(value.rlike(f"^(?:{PATTERNS['phone']})$"), "phone").otherwise("card")
+
+
+def _canon(kind: Column, value: Column) -> Column:
+    return F.lower(F.when(kind.isin("phone", "card", "ssn", "iban"), F.regexp_replace(value, _LOOSE, "")).otherwise(value))
+
+
+def _script(name: Column) -> Column:
+    return F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+
+
+def _name_parts(value: Column) -> tuple[Column, Column, Column, Column]:
+    """Form of address with its blank, gender, given name ("" if there is but one name), surname."""
+    title = F.regexp_extract(value, f"^{_TITLE}", 0)
+    bare = F.regexp_replace(title, r"\.? $", "")
+    gender = F.when(bare.isin(*MALE), "m").when(bare.isin(*FEMALE), "f").otherwise("n")
+    names = F.split(F.regexp_replace(value, f"^{_TITLE}", ""), " ")
+    return title, gender, F.when(F.size(names) > 1, F.get(names, F.lit(0))).otherwise(""), F.element_at(names, -1)
+
+
+def _keys(value: Column) -> Column:
+    """Keys "kind|canonical form" of the entities of a value; all but names have one."""
+    kind = _kind(value)
+    _, gender, given, surname = _name_parts(value)
+    names = F.array(F.concat(F.lit("surname_"), _script(surname), F.lit("|"), F.lower(surname)), F.when(given != "", F.concat(F.lit("given_"), _script(given), F.lit("_"), gender, F.lit("|"), F.lower(given))))
+    return F.when(kind == "name", names).otherwise(F.array(F.concat(kind, F.lit("|"), _canon(kind, value))))
+
+
+def _draw(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
+    """The surrogate's canonical form: as long as canon, but for ip and names."""
+    seed = F.concat_ws("|", F.lit(key), kind, canon, attempt.cast("string"))
+    digest = F.concat(F.sha2(seed, 512), F.sha2(F.concat(F.lit("|"), seed), 512))
+    byte = lambda i: F.conv(F.substring(digest, F.lit(1) + i * 2 % 254, F.lit(2)), 16, 10).cast("int")
+    wide = lambda i: F.conv(F.substring(digest, F.lit(1) + i * 8, F.lit(8)), 16, 10).cast("long")
+    number = lambda i, n: (byte(i) % n).cast("string")
+
+    def fill(x: Column) -> Column:
+        one = lambda c, i: F.when(c.rlike(r"\p{N}"), number(i, 10)).when(c.rlike(r"\p{L}"), F.char(97 + byte(i) % 26)).otherwise(c)
+        return F.array_join(F.transform(F.split(x, ""), one), "")
+
+    tail = F.substring_index(canon, ".", -1)
+    email = F.concat(fill(F.substring(canon, F.lit(1), F.length(canon) - F.length(tail))), tail)
+    hexes = F.array_join(F.transform(F.split(canon, ""), lambda c, i: F.substring(digest, F.lit(1) + i % 254, F.lit(1))), "")
+    ip = F.concat_ws(".", (1 + byte(F.lit(0)) % 223).cast("string"), *((1 + byte(F.lit(i)) % 254).cast("string") for i in (1, 2, 3)))
+    # a country code stays; a number's own first digit is 2 to 9
+    code = F.greatest(F.length(canon) - 10, F.lit(0))
+    phone = F.concat(F.substring(canon, F.lit(1), code), (2 + byte(F.lit(90)) % 8).cast("string"), fill(F.substring(canon, code + 2, F.length(canon))))
+    body = F.concat(F.substring(canon, 1, 1), fill(F.substring(canon, F.lit(2), F.length(canon) - 2)))
+    last = F.when(_luhn(canon) == 0, ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")).otherwise(number(F.lit(100), 10))
+    out = F.when(kind == "email", email).when(kind == "hex_secret", hexes).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", F.concat(body, last))
+    out = out.when(kind == "aws_key", F.concat(F.lit("akia"), fill(F.substring(canon, 5, 100)))).when(kind == "iban", F.concat(F.substring(canon, 1, 2), fill(F.substring(canon, 3, 100)))).when(kind == "ssn", fill(canon))
+    for (script, gender), names in GIVEN.items():
+        pick = F.get(F.array(*map(F.lit, names)), (wide(F.lit(0)) % len(names)).cast("int"))
+        # a second name joins where the list alone could not keep entities apart
+        more = F.when(attempt > 0, F.concat(F.lit("-"), _syllables(script, wide))).otherwise("")
+        out = out.when(kind == f"given_{script}_{gender}", F.concat(pick, more))
+    for script in SYLLABLES:
+        out = out.when(kind == f"surname_{script}", _syllables(script, wide))
+    return out
+
+
+def _syllables(script: str, wide) -> Column:  # noqa: ANN001
+    of = F.array(*map(F.lit, SYLLABLES[script]))
+    return F.initcap(F.concat(*(F.get(of, (wide(F.lit(i)) % len(SYLLABLES[script])).cast("int")) for i in range(1, 6))))
+
+
+def _luhn(digits: Column) -> Column:
+    """Sum modulo 10 of the digits, every second from the right doubled; 0 if the check digit is right."""
+    doubled = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
+    return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10
+
+
+def surrogates(entities: DataFrame, key: str, most_attempts: int = 64) -> DataFrame:
+    """(entity, surrogate) of distinct entities ("kind|canonical form"): of one kind no two are equal, and none is a real entity's.
+
+    Raises if a kind has more entities than there are surrogates of its format.
+    """
+    split = entities.select("entity", F.substring_index("entity", "|", 1).alias("kind"))
+    left = C.cut(split.withColumn("canon", F.expr("substring(entity, length(kind) + 2)")))
+    real, done = left.select("kind", F.col("canon").alias("surrogate")), None
+    for attempt in range(most_attempts):
+        tried = left.withColumn("surrogate", _draw(F.col("kind"), F.col("canon"), key, F.lit(attempt)))
+        free = tried.withColumn("s", F.lower("surrogate")).join(real.withColumnRenamed("surrogate", "s"), ["kind", "s"], "left_anti")
+        if done is not None:
+            free = free.join(done.select("kind", F.lower("surrogate").alias("s")), ["kind", "s"], "left_anti")
+        first = free.groupBy("kind", "s").agg(F.min(F.struct("entity", "surrogate")).alias("x")).select("kind", "x.entity", "x.surrogate")
+        done = C.cut(first if done is None else done.unionByName(first))
+        left = C.cut(left.join(done.select("entity"), "entity", "left_anti"))
+        if left.isEmpty():
+            return done.select("entity", "surrogate")
+    raise RuntimeError(f"surrogates of some format are used up: {[x.kind for x in left.select('kind').distinct().limit(20).collect()]}")
+
+
+def _lay_out(value: Column, found: Column) -> Column:
+    """value with the characters of its surrogate, keeping separators and capitals."""
+    kind = _kind(value)
+    mapped = F.element_at(found, F.concat(kind, F.lit("|"), _canon(kind, value)))
+    title, gender, given, surname = _name_parts(value)
+    name = F.concat(title, F.when(given != "", F.concat(F.element_at(found, F.concat(F.lit("given_"), _script(given), F.lit("_"), gender, F.lit("|"), F.lower(given))), F.lit(" "))).otherwise(""), F.element_at(found, F.concat(F.lit("surname_"), _script(surname), F.lit("|"), F.lower(surname))))
+    loose = kind.isin("phone", "card", "ssn", "iban")
+
+    def one(c: Column, i: Column) -> Column:
+        at = F.when(loose, F.length(F.regexp_replace(F.substring(value, F.lit(1), i + 1), _LOOSE, ""))).otherwise(i + 1)
+        x = F.substring(mapped, at, F.lit(1))
+        return F.when(loose & c.rlike(_LOOSE), c).when(c.rlike(r"\p{Lu}"), F.upper(x)).otherwise(x)
+
+    chars = F.array_join(F.transform(F.split(value, ""), one), "")
+    return F.when(kind == "name", name).when(kind == "ip", mapped).otherwise(chars)
+
+
+def replace(docs: DataFrame, key: str = "quire") -> DataFrame:
+    """docs with personal data in text replaced; a column n_entities (places replaced) follows, replacing one of that name.
+
+    Null text stays null, text without personal data stays as it is. Equal texts get equal results, so repeated rows and ids do.
+    """
+    docs = docs.drop("n_entities")
+    hits = F.regexp_extract_all("text", F.lit(ALL), F.lit(0))
+    suspect = F.coalesce(_suspect(F.col("text")), F.lit(False))
+    some = docs.where(suspect).withColumn("_hits", hits)
+    texts = some.where(F.size("_hits") > 0).select(F.xxhash64("text").alias("_a"), F.xxhash64(F.lit(1), "text").alias("_b"), F.array_distinct("_hits").alias("h"))
+    values = texts.select("_a", "_b", F.explode("h").alias("value")).select("_a", "_b", F.explode(_keys(F.col("value"))).alias("entity")).where("entity is not null")
+    values = C.cut(values.distinct())
+    mapping = surrogates(values.select("entity").distinct(), key)
+    found = values.join(mapping, "entity").groupBy("_a", "_b").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_found"))
+    hit = some.withColumn("_a", F.xxhash64("text")).withColumn("_b", F.xxhash64(F.lit(1), "text")).join(found, ["_a", "_b"], "left")
+    placed = F.transform("_hits", lambda v: _lay_out(v, F.col("_found")))
+    gaps = F.split("text", ALL, -1)
+    joined = F.array_join(F.zip_with(gaps, placed, lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
+    text = F.when(F.col("_found").isNull(), F.col("text")).otherwise(joined)
+    changed = hit.withColumn("_n", F.size("_hits").cast("long"))
+    changed = C.add_columns(changed, text).select(*docs.columns, F.col("_n").alias("n_entities"))
+    plain = docs.where(~suspect).withColumn("n_entities", F.lit(0).cast("long"))
+    return plain.select(changed.columns).unionByName(changed)
