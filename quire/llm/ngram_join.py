@@ -5,23 +5,21 @@ T >= ceil(t * n). Of the n inverted lists that a document asks for, the T - 1 lo
 a partner must then occur in one of the n - T + 1 short ones at least. The short lists are merged by token (the shuffle's
 sort-merge takes the heap's place); what they give is probed in the long ones by binary search.
 
-Lists are long only where many documents share a token, so the order of tokens is (frequent or not, hash):
-
 1. Equal sets become one class; only classes go on.
-2. A document goes on if enough of its lowest hashes occur elsewhere. With p = n - ceil(t n) + 1 and the p + e lowest
-   hashes of each document, linked ones share e + 1 of them, so documents with fewer shared tokens there link with nothing.
-   A boilerplate passage within a longer document does not get it past this test.
-3. Among those that are left, tokens are counted. Tokens in more than `long_list` documents come last in the order. So
-   documents with p rare tokens of their own never enter a long list.
-4. In each list each document is held against a few leaders of the list (a star, not all pairs). What that links is one
-   component. Only pairs of documents of one list that are in different components then remain to be probed.
-
-No pair is dropped or capped: step 4 leaves out pairs only where both are known to be connected already.
+2. Let p = n - ceil(t n) + 1. Of the p + e lowest hashes of each document, linked ones share e + 1. So documents with fewer
+   tokens there that any other has link with nothing. A boilerplate passage in a longer document does not get it past this.
+3. Lists of at most `long_list` documents are short, the rest long. A document with L long lists among its lowest hashes has
+   with any partner at least e + 1 - L short lists in common; merging the short ones and counting gives the candidates.
+4. If L > e, partners may share long lists only. Among such documents, tokens are ordered by (long or not, hash), so that those
+   with p rare tokens of their own enter no long list; what still meets in a list is first held against leaders of the list.
+5. Candidates are probed: the tokens of one in the sorted tokens of the other. First each against one partner or leader (a
+   star, not all pairs); what that links is one component, and then the pairs between different components.
+
+No pair is dropped or capped: step 5 leaves out pairs only where both are known to be connected already.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +30,7 @@ from pyspark.sql import functions as F
 from quire.llm import common as C
 
 #: Leaders of each list; lists up to this length give pairs at once.
-STARS, LONG_LIST = 4, 32
+STARS, LONG_LIST = 2, 32
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -81,7 +79,7 @@ def low_count(n: int, t: float) -> tuple[int, int]:
 
 
 def _sets(docs: DataFrame, k: int, emit: str, t: float) -> DataFrame:
-    """emit: "key" (doc_id, n, h1, h2), "low" (doc_id, need, low) or "set" (doc_id, n, tokens); rows without an id or shingles only in "key"."""
+    """emit: "key" (doc_id, n, h1, h2), "low" (doc_id, need, low) or "set" (doc_id, tokens); rows without an id or shingles only in "key"."""
     schema = {"key": "doc_id long, n long, h1 long, h2 long", "low": "doc_id long, need int, low array<long>", "set": "doc_id long, tokens array<long>"}[emit]
 
     def lists(x: list[np.ndarray]) -> pa.Array:
@@ -169,29 +167,61 @@ def link_components(docs: DataFrame, k: int = 5, t: float = 0.8, long_list: int
     same_id = keys.join(C.small_side(repeated), "doc_id", "left_semi").join(classes, ["h1", "h2"]).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     once = docs.join(C.small_side(copies), "doc_id", "left_anti")
     low = _sets(once, k, "low", t).select("doc_id", "need", F.explode("low").alias("token"))
-    shared = low.groupBy("token").count().where("count > 1").select("token")
-    near = C.cut(low.join(shared, "token").groupBy("doc_id").agg(F.count("*").alias("n"), F.first("need").alias("need")).where("n >= need").select("doc_id"))
-    sets = C.cut(_sets(docs.join(C.small_side(near), "doc_id", "left_semi"), k, "set", t))
-    counts = sets.select(F.explode("tokens").alias("token")).groupBy("token").count()
-    frequent = C.cut(counts.where(F.col("count") > long_list).select("token"))
-    short = C.cut(_prefixes(sets, frequent, t).join(counts.where("count > 1").select("token"), "token", "left_semi"))
-    leaders = short.groupBy("token").agg(F.count("*").alias("size"), *(F.min_by("doc_id", F.xxhash64(F.lit(i), "doc_id")).alias(f"l{i}") for i in range(stars)))
-    star = short.join(leaders.where("size > 1"), "token").select("doc_id", F.explode(F.array(*(f"l{i}" for i in range(stars)))).alias("l"))
-    star = star.where("doc_id != l").select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b")).distinct()
-    linked = C.cut(_probe(star, sets, t).unionByName(same_id))
+    counts = low.groupBy("token").count().where("count > 1")
+    met = C.cut(low.join(counts, "token").select("token", "doc_id", "need", (F.col("count") > long_list).cast("int").alias("long")))
+    least = (F.first("need") - F.sum("long")).cast("int")
+    near = C.cut(met.groupBy("doc_id").agg(F.count("*").alias("m"), F.first("need").alias("need"), least.alias("least")).where("m >= need").select("doc_id", "least"))
+    pairs = C.cut(_candidates(met.where("long = 0").select("token", "doc_id").join(C.small_side(near), "doc_id")))
+    hard = C.cut(near.where("least <= 0").select("doc_id"))
+    ids = C.cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(hard).distinct())
+    sets = C.cut(_sets(docs.join(C.small_side(ids), "doc_id", "left_semi"), k, "set", t))
+    hard_sets = sets.join(C.small_side(hard), "doc_id", "left_semi")
+    frequent = C.cut(hard_sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > long_list).select("token"))
+    short = C.cut(_prefixes(hard_sets, frequent, t))
+    first = C.cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(_stars(short, stars)).distinct())
+    linked = C.cut(_probe(first, sets, t).unionByName(same_id))
     found = C.cut(C.components(linked))
-    rest = _apart(short, found, long_list)
-    more = C.cut(_probe(rest.join(star, ["a", "b"], "left_anti"), sets, t))
+    rest = _between(pairs.join(first, ["a", "b"], "left_anti"), found).unionByName(_apart(short, found, long_list)).distinct()
+    more = C.cut(_probe(rest.join(first, ["a", "b"], "left_anti"), sets, t))
     if not more.isEmpty():
-        root = lambda x: found.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
-        joined = more.join(root("a"), "a", "left").join(root("b"), "b", "left")
-        joined = joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        joined = _rooted(more, found).select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         found = C.cut(C.components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(joined)))
     roots = classes.join(found.select(F.col("id").alias("rep"), "root"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("c"))
     out = keys.join(roots, ["h1", "h2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
     return out
 
 
+def _pairs(lists: DataFrame) -> DataFrame:
+    """(x, y, c) of lists (docs sorted, c): all pairs of short lists."""
+    return lists.select(F.posexplode("docs").alias("i", "x"), "docs", "c").select("x", F.explode(F.slice("docs", F.col("i") + 2, F.size("docs"))).alias("y"), "c")
+
+
+def _candidates(short: DataFrame) -> DataFrame:
+    """Pairs (a < b) of (token, doc_id, least) with as many lists in common as each asks for; equal lists are counted, not repeated."""
+    lists = short.groupBy("token").agg(F.sort_array(F.collect_list(F.struct("doc_id", "least"))).alias("docs")).where(F.size("docs") > 1)
+    lists = lists.groupBy("docs").agg(F.count("*").alias("c"))
+    both = _pairs(lists).where("x.doc_id < y.doc_id").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), "c", F.greatest("x.least", "y.least").alias("least"))
+    return both.groupBy("a", "b").agg(F.sum("c").alias("s"), F.max("least").alias("least")).where("s >= least").select("a", "b")
+
+
+def _stars(short: DataFrame, stars: int) -> DataFrame:
+    """Pairs of each document and some leaders: of each kind the one that leads most of its lists."""
+    leaders = short.groupBy("token").agg(F.count("*").alias("size"), *(F.min_by("doc_id", F.xxhash64(F.lit(i), "doc_id")).alias(f"l{i}") for i in range(stars)))
+    each = short.join(leaders.where("size > 1"), "token").select("doc_id", F.posexplode(F.array(*(f"l{i}" for i in range(stars)))).alias("kind", "l")).where("doc_id != l")
+    most = each.groupBy("doc_id", "kind", "l").count().groupBy("doc_id", "kind").agg(F.max_by("l", F.struct("count", "l")).alias("l"))
+    return most.select(F.least("doc_id", "l").alias("a"), F.greatest("doc_id", "l").alias("b")).distinct()
+
+
+def _rooted(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    root = lambda x: found.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
+    return pairs.join(root("a"), "a", "left").join(root("b"), "b", "left")
+
+
+def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs that are not known to be connected."""
+    return _rooted(pairs, found).where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
+
+
 def _apart(short: DataFrame, found: DataFrame, long_list: int) -> DataFrame:
     """Distinct pairs (a < b) that share a list and are not known to be connected."""
     rooted = short.join(found.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
@@ -199,8 +229,7 @@ def _apart(short: DataFrame, found: DataFrame, long_list: int) -> DataFrame:
     rooted = rooted.join(mixed.select("token", "size"), "token")
     # equal lists of different tokens give the same pairs: each distinct list counts once
     lists = rooted.where(F.col("size") <= long_list).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("doc_id", "root"))).alias("docs")).select("docs").distinct()
-    few = lists.select(F.posexplode("docs").alias("i", "x"), "docs").select("x", F.explode(F.slice("docs", F.col("i") + 2, F.size("docs"))).alias("y"))
-    few = few.where("x.root != y.root").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    few = _pairs(lists.withColumn("c", F.lit(1))).where("x.root != y.root").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
     long = rooted.where(F.col("size") > long_list)
     # a member is held against the members of other components only
     main = long.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
