@@ -1,20 +1,19 @@
 """Near-duplicate lines by deletion neighbourhoods, in SQL expressions only.
 
-Two lines are alike if their words differ by at most one edit: a word put in, left out or replaced. A line's variants are the
-line itself and the line without one of its words. Lines that differ by a replaced word share the variant without it, at
-the same place; a line with a word more has the other among its variants. Variants are emitted as hashed keys:
+Two lines are alike if their words (what single blanks part) differ by at most one edit: a word put in, left out or replaced. A
+line's variants are the line itself and the line without one of its words, emitted as hashed keys:
 
-    same place:  hash(sums over j of hash(word j, j) less that of the place, place, number of words)
-    self:        hash(sums over j of hash(word j, word j + 1), number of words), ends counting as words of their own; leaving
-                 out a word takes two neighbour hashes from the sums and adds that of the new neighbours
+    replaced: hash(sums over j of hash(word j, j) less that of place i, i, number of words)
+    whole:    hash(sums over j of hash(word j, word j + 1), number of words), the ends counting as words
+    dropped:  the key that the line without word i would have: two neighbour hashes go from the sums, that of the new neighbours comes
 
-Lines that share a key of the first kind are alike all together, so holding each against the key's earliest line is enough;
-the second kind joins variants with the one line that they equal. Candidates are verified on the words themselves.
+Lines that share a key "replaced" are alike all together, so holding each against the key's earliest line is enough. A "whole" key
+meets "dropped" keys of lines with a word more: the shorter line is held against the earliest of these, these against the shorter
+one. Keys are reduced to their earliest lines before a shuffle, however many lines share them. Candidates are verified on their words.
 
 Lines are first made distinct. Then a lossless test leaves most out: an edit lies either behind the first or before the
 last four words, so a line of nine or more words whose first four and last four words no other distinct line has is alike to
-none. Every reduction (earliest line of a text, of a key) is a partial minimum before its shuffle; joins have one row for a key
-on one side, so that hot keys can be split.
+none. A line's place is one number, doc_id * 2**31 + line_no: its name and its rank.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import common as C
-from quire.llm.quality import _BLANKS, words_of
+from quire.llm.quality import _BLANKS
 
 _END, _LOW = 4, (1 << 32) - 1
 
@@ -34,6 +33,12 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return split.where(F.btrim("line", F.lit(_BLANKS)) != "")
 
 
+def _place(doc_id: Column, line_no: Column) -> Column:
+    """A null doc_id comes before all others."""
+    order = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
+    return (order * F.lit(1 << 31).cast("decimal(10,0)") + line_no.cast("decimal(10,0)")).cast("decimal(32,0)")
+
+
 def _sums(hashes: Column) -> tuple[Column, Column]:
     """Sums of the halves of 64-bit hashes: no overflow, and terms can be taken out."""
     add = lambda f: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + f(x))
@@ -60,72 +65,78 @@ def one_edit(a: Column, b: Column) -> Column:
     return (long - short <= 1) & (same(a, b) + same(F.reverse(a), F.reverse(b)) >= long - 1)
 
 
+def _variants(lines: DataFrame) -> DataFrame:
+    """(key, o, kind) of the variants of lines (o, w): kind 0 whole, 1 dropped, 2 replaced."""
+    n = F.size("w")
+    edge = F.array(F.lit("\n"))  # no word
+    a = lines.select("o", n.alias("n"), F.concat(edge, F.col("w"), edge).alias("e"), F.transform("w", lambda x, i: F.xxhash64(x, i)).alias("hp"))
+    pair = lambda x, y: F.xxhash64(x, y)
+    part = lambda i, less: F.slice("e", F.lit(i), F.size("e") - less)
+    a = a.select("o", "n", "hp", F.zip_with(part(1, 1), part(2, 1), pair).alias("hl"), F.zip_with(part(1, 2), part(3, 2), pair).alias("new"))
+    a = a.select("*", *(x.alias(f"p{i}") for i, x in enumerate(_sums(F.col("hp")))), *(x.alias(f"s{i}") for i, x in enumerate(_sums(F.col("hl")))))
+    replaced = F.transform("hp", lambda h, i: F.struct(F.xxhash64(F.col("p0") - _hi(h), F.col("p1") - _lo(h), i, "n").alias("key"), F.lit(2).alias("kind")))
+    gone = F.zip_with(F.zip_with(F.slice("hl", F.lit(1), F.col("n")), F.slice("hl", F.lit(2), F.col("n")), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), "new", lambda g, z: F.xxhash64(*(F.col(f"s{i}") - f(g["x"]) - f(g["y"]) + f(z) for i, f in enumerate((_hi, _lo))), F.col("n") - 1))
+    dropped = F.transform(F.array_distinct(gone), lambda k: F.struct(k.alias("key"), F.lit(1).alias("kind")))
+    whole = F.array(F.struct(F.xxhash64("s0", "s1", "n").alias("key"), F.lit(0).alias("kind")))
+    return a.select("o", F.inline(F.concat(whole, dropped, replaced)))
+
+
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, line_no) of the lines to leave out: those with an alike line earlier in the order (doc_id, line_no).
 
     Equal lines are alike; so are lines one word apart. A line is measured against all earlier lines, whether or not they
-    stay. Rows that share a doc_id (null included, which comes first) share its places: equal lines at one place all stay.
+    stay. Rows that share a doc_id (null included, which comes first) share its places: equal lines at one place all stay, and of different
+    ones at a place one stands for it in the near matching.
     """
-    line = lines_of(docs).select("doc_id", "line_no", words_of(F.col("line")).alias("w"))
-    n = F.size("w")
-    # words joined by one blank: lines that differ in white space only are equal
-    text = F.concat_ws(" ", "w")
-    keyed = line.select("doc_id", "line_no", F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), n.alias("n"), F.xxhash64(F.slice("w", 1, _END)).alias("head"), F.xxhash64(F.slice(F.reverse("w"), 1, _END)).alias("tail"))
-    place = F.struct(F.col("doc_id").isNotNull().alias("has"), "doc_id", "line_no")
-    distinct = C.cut(keyed.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.max("n").alias("n"), F.max("head").alias("head"), F.max("tail").alias("tail")))
-    ends = lambda c: distinct.where(f"n >= {_END}").groupBy(c).count().where("count > 1").select(c, F.lit(True).alias(f"{c}_shared"))
-    tested = distinct.join(ends("head"), "head", "left").join(ends("tail"), "tail", "left")
-    suspects = C.cut(tested.where(f"n < {2 * _END + 1} or head_shared or tail_shared").select("k1", "k2", "first"))
-    # the words of the suspects, from their first places
-    at = C.small_side(suspects.select(F.col("first.doc_id").alias("d"), F.col("first.line_no").alias("line_no"), "k1", "k2", "first"))
-    some = line.join(at, line.doc_id.eqNullSafe(at.d) & (line.line_no == at.line_no)).select("w", "k1", "k2", "first")
-    some = some.where((F.xxhash64(text) == F.col("k1")) & (F.xxhash64(F.lit(1), text) == F.col("k2"))).dropDuplicates(["k1", "k2"])
-    edge = F.array(F.lit("\n"))  # no word
-    before, after = F.concat(edge, F.slice("w", F.lit(1), n - 1)), F.concat(F.slice("w", F.lit(2), n - 1), edge)
-    link = F.zip_with(F.concat(edge, F.col("w")), F.concat(F.col("w"), edge), lambda x, y: F.xxhash64(x, y))
-    near = F.zip_with(before, F.col("w"), lambda x, y: F.xxhash64(x, y)), F.zip_with("w", after, lambda x, y: F.xxhash64(x, y)), F.zip_with(before, after, lambda x, y: F.xxhash64(x, y))
-    some = C.cut(some.select("k1", "k2", "first", n.alias("n"), F.transform("w", lambda x, i: F.xxhash64(x, i)).alias("hp"), F.transform("w", lambda x: F.xxhash64(x)).alias("hs"), link.alias("hl"), F.arrays_zip(near[0].alias("l"), near[1].alias("r"), near[2].alias("new")).alias("hn")))
-    some = some.select("k1", "k2", "first", "n", "hp", "hs", "hn", *(x.alias(f"p{i}") for i, x in enumerate(_sums(F.col("hp")))), *(x.alias(f"s{i}") for i, x in enumerate(_sums(F.col("hl")))))
-    replaced = some.select("k1", "k2", "first", "n", "p0", "p1", F.posexplode("hp").alias("i", "h")).select("k1", "k2", "first", F.xxhash64(F.col("p0") - _hi(F.col("h")), F.col("p1") - _lo(F.col("h")), "i", "n").alias("key"))
-    less = [F.col(f"s{i}") - f(F.col("h.l")) - f(F.col("h.r")) + f(F.col("h.new")) for i, f in enumerate((_hi, _lo))]
-    dropped = some.select("k1", "k2", "first", "n", "s0", "s1", F.explode(F.array_distinct("hn")).alias("h")).select("k1", "k2", "first", F.xxhash64(*less, F.col("n") - 1).alias("key"))
-    whole = some.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("first").alias("other"), F.xxhash64("s0", "s1", "n").alias("key"))
-    lead = replaced.groupBy("key").agg(F.min(F.struct("first", "k1", "k2")).alias("lead"), F.count("*").alias("c")).where("c > 1").select("key", F.col("lead.k1").alias("o1"), F.col("lead.k2").alias("o2"), F.col("lead.first").alias("other"))
-    pairs = replaced.join(lead, "key").where("other < first").select("k1", "k2", "first", "o1", "o2")
-    back = dropped.join(whole, "key")
-    pairs = pairs.unionByName(back.where("other < first").select("k1", "k2", "first", "o1", "o2"))
-    # a longer line may also come before the shorter one
-    early = dropped.groupBy("key").agg(F.min(F.struct("first", "k1", "k2")).alias("lead")).select("key", F.col("lead.k1").alias("o1"), F.col("lead.k2").alias("o2"), F.col("lead.first").alias("other"))
-    shorter = whole.select(F.col("o1").alias("k1"), F.col("o2").alias("k2"), F.col("other").alias("first"), "key")
-    pairs = pairs.unionByName(shorter.join(early, "key").where("other < first").select("k1", "k2", "first", "o1", "o2")).distinct()
-    return _places(keyed, distinct, line, C.cut(pairs), some, at)
-
-
-def _places(keyed: DataFrame, distinct: DataFrame, line: DataFrame, pairs: DataFrame, some: DataFrame, at: DataFrame) -> DataFrame:
-    """Verify the pairs on their words; then the places of the lines to leave out."""
-    words = some.select("k1", "k2", "hp", "hs")
-    a = pairs.join(words, ["k1", "k2"]).withColumnRenamed("hs", "x").drop("hp")
-    b = a.join(words.select(F.col("k1").alias("o1"), F.col("k2").alias("o2"), F.col("hs").alias("y")), ["o1", "o2"])
-    near = C.cut(b.where(one_edit(F.col("x"), F.col("y"))).select("k1", "k2").distinct().withColumn("near", F.lit(True)))
+    line = lines_of(docs)
+    n = F.length("line") - F.length(F.translate("line", " ", "")) + 1
+    ends = F.xxhash64(F.substring_index("line", " ", _END)).alias("head"), F.xxhash64(F.substring_index("line", " ", -_END)).alias("tail")
+    keyed = line.select("doc_id", "line_no", _place(F.col("doc_id"), F.col("line_no")).alias("o"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), n.alias("n"), *ends)
+    distinct = C.cut(keyed.groupBy("k1", "k2").agg(F.min("o").alias("o"), F.max("o").alias("last"), F.max("n").alias("n"), F.max("head").alias("head"), F.max("tail").alias("tail")))
+    # an end that several lines share: kept as narrow rows, with a flag
+    shared = lambda c: distinct.where(f"n >= {_END}").groupBy(c).agg(F.count("*").alias("c")).where("c > 1").select(c, F.lit(True).alias(f"{c}_shared"))
+    tested = distinct.join(shared("head"), "head", "left").join(shared("tail"), "tail", "left")
+    suspects = C.cut(tested.where(f"n < {2 * _END + 1} or head_shared or tail_shared").select("o"))
+    words = F.split("line", " ", -1)
+    at = line.select(_place(F.col("doc_id"), F.col("line_no")).alias("o"), "line").join(C.small_side(suspects), "o")
+    some = C.cut(at.groupBy("o").agg(F.min("line").alias("line")) if _repeats(docs) else at)
+    lines = some.select("o", words.alias("w"))
+    variants = _variants(lines)
+    low = lambda test: F.min(F.when(test, F.col("o")))
+    keys = variants.groupBy("key").agg(F.count("*").alias("c"), low(F.col("kind") == 0).alias("whole"), low(F.col("kind") != 0).alias("other"))
+    keys = C.cut(keys.where("c > 1").select("key", "whole", "other"))
+    met = variants.join(C.small_side(keys), "key").select("o", F.when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("other")).alias("p"))
+    pairs = C.cut(met.where("p < o").distinct())
+    text = lambda x, w: lines.select(F.col("o").alias(x), F.col("w").alias(w))
+    both = pairs.join(text("o", "x"), "o").join(text("p", "y"), "p")
+    near = C.cut(both.where(one_edit(F.col("x"), F.col("y"))).select("o").distinct().withColumn("near", F.lit(True)))
     # only texts with several places, or with an earlier alike line, lose any
-    out = distinct.join(near, ["k1", "k2"], "left").where("near or first != last").select("k1", "k2", F.when(F.col("near").isNull(), F.col("first")).alias("stays"))
-    hit = keyed.select("doc_id", "line_no", "k1", "k2").join(out, ["k1", "k2"])
-    return hit.where("stays is null or not (stays.doc_id <=> doc_id and stays.line_no = line_no)").select("doc_id", "line_no")
+    lose = distinct.join(near, "o", "left").where("near or o != last").select("k1", "k2", F.when(F.col("near").isNull(), F.col("o")).alias("stays"))
+    hit = keyed.select("doc_id", "line_no", "o", "k1", "k2").join(lose, ["k1", "k2"])
+    return hit.where("stays is null or stays != o").select("doc_id", "line_no")
+
+
+def _repeats(docs: DataFrame) -> bool:
+    """Whether several rows share a doc_id, so that several lines may share a place."""
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
 
 
 def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the lines gone(doc_id, line_no); adds n_lines (with a word, before) and n_removed. Lines without a word stay; null text stays null."""
-    drop = gone.distinct().groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    both = docs.join(drop, docs.doc_id.eqNullSafe(drop._id), "left")
-    lines = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("_gone"), i))
+    gone = C.cut(gone.distinct())
+    drop = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
+    if gone.limit(C.BROADCAST_ROWS + 1).count() <= C.BROADCAST_ROWS:
+        drop = F.broadcast(drop)
+    both = docs.join(drop, docs.doc_id.eqNullSafe(drop._id), "left").withColumn("_lines", F.split("text", "\n", -1))
+    lines = F.filter("_lines", lambda x, i: ~F.array_contains(F.col("_gone"), i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    count = F.size(F.filter(F.split(F.coalesce(docs.text, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(_BLANKS)) != ""))
-    both = both.withColumn("_n", count).withColumn("_r", F.coalesce(F.size("_gone"), F.lit(0)))
+    count = F.when(F.col("_lines").isNull(), 0).otherwise(F.size(F.filter("_lines", lambda x: F.btrim(x, F.lit(_BLANKS)) != "")))
+    both = both.withColumn("_n", count).withColumn("_r", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")))
     out = C.add_columns(both, text)
-    return out.select(*docs.columns, F.col("_n").cast("long").alias("n_lines"), F.greatest("_r", F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*docs.columns, F.col("_n").cast("long").alias("n_lines"), F.col("_r").cast("long").alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with each line kept at its earliest place only; columns n_lines and n_removed follow (replacing any of that name)."""
     docs = docs.drop("n_lines", "n_removed")
-    return without_lines(docs, C.cut(duplicates(docs)))
+    return without_lines(docs, duplicates(docs))
