@@ -168,7 +168,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, n_codes: int = CODES,
     spread = spread.select(*keys, "side", "rep", "copies", "v", "earlier").repartition(*keys).sortWithinPartitions(*keys, "rep", "copies")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, len(keys)):
+        for group in C.groups(batches, len(keys)):
             if group.num_rows < 2:
                 continue
             side, ids, copies = (group.column(c).to_numpy() for c in ("side", "rep", "copies"))
@@ -188,21 +188,3 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, n_codes: int = CODES,
     whole = whole.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("root", "rep").alias("c"))
     out = keyed.select("vec_id", "k1", "k2").join(whole, ["k1", "k2"], "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
-
-
-def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
-    """Runs of rows with equal first columns, of sorted batches; runs are at most two blocks long."""
-    held: pa.Table | None = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-        change = np.zeros(max(table.num_rows - 1, 0), bool)
-        for i in range(n_keys):
-            c = table.column(i).combine_chunks()
-            codes = c.dictionary_encode().indices.to_numpy() if pa.types.is_string(c.type) else c.to_numpy()
-            change |= codes[1:] != codes[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
-        for a, b in zip(cuts, cuts[1:]):
-            yield table.slice(a, b - a)
-        held = table.slice(cuts[-1])
-    if held is not None and held.num_rows:
-        yield held

@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,3 +123,21 @@ def slices(sizes: list[int], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal first columns, of sorted batches; runs are at most two blocks long."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        change = np.zeros(max(table.num_rows - 1, 0), bool)
+        for i in range(n_keys):
+            c = table.column(i).combine_chunks()
+            codes = c.dictionary_encode().indices.to_numpy() if pa.types.is_string(c.type) else c.to_numpy()
+            change |= codes[1:] != codes[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
+        for a, b in zip(cuts, cuts[1:]):
+            yield table.slice(a, b - a)
+        held = table.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held

@@ -74,11 +74,12 @@ def _variants(lines: DataFrame) -> DataFrame:
     part = lambda i, less: F.slice("e", F.lit(i), F.size("e") - less)
     a = a.select("o", "n", "hp", F.zip_with(part(1, 1), part(2, 1), pair).alias("hl"), F.zip_with(part(1, 2), part(3, 2), pair).alias("new"))
     a = a.select("*", *(x.alias(f"p{i}") for i, x in enumerate(_sums(F.col("hp")))), *(x.alias(f"s{i}") for i, x in enumerate(_sums(F.col("hl")))))
-    replaced = F.transform("hp", lambda h, i: F.struct(F.xxhash64(F.col("p0") - _hi(h), F.col("p1") - _lo(h), i, "n").alias("key"), F.lit(2).alias("kind")))
-    gone = F.zip_with(F.zip_with(F.slice("hl", F.lit(1), F.col("n")), F.slice("hl", F.lit(2), F.col("n")), lambda x, y: F.struct(x.alias("x"), y.alias("y"))), "new", lambda g, z: F.xxhash64(*(F.col(f"s{i}") - f(g["x"]) - f(g["y"]) + f(z) for i, f in enumerate((_hi, _lo))), F.col("n") - 1))
-    dropped = F.transform(F.array_distinct(gone), lambda k: F.struct(k.alias("key"), F.lit(1).alias("kind")))
-    whole = F.array(F.struct(F.xxhash64("s0", "s1", "n").alias("key"), F.lit(0).alias("kind")))
-    return a.select("o", F.inline(F.concat(whole, dropped, replaced)))
+    one = F.arrays_zip("hp", F.slice("hl", F.lit(1), F.col("n")).alias("l"), F.slice("hl", F.lit(2), F.col("n")).alias("r"), "new")
+    a = a.select("o", "n", "p0", "p1", "s0", "s1", F.posexplode(one).alias("i", "z"))
+    less = [F.col(f"s{i}") - f(F.col("z.l")) - f(F.col("z.r")) + f(F.col("z.new")) for i, f in enumerate((_hi, _lo))]
+    keys = [F.xxhash64("s0", "s1", "n"), F.xxhash64(*less, F.col("n") - 1), F.xxhash64(F.col("p0") - _hi(F.col("z.hp")), F.col("p1") - _lo(F.col("z.hp")), "i", "n")]
+    made = [F.struct(k.alias("key"), F.lit(kind).alias("kind")) for kind, k in enumerate(keys)]
+    return a.select("o", F.inline(F.when(F.col("i") == 0, F.array(*made)).otherwise(F.array(*made[1:]))))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:

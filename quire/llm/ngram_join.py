@@ -13,7 +13,9 @@ sort-merge takes the heap's place); what they give is probed in the long ones by
 4. If L > e, partners may share long lists only. Among such documents, tokens are ordered by (long or not, hash), so that those
    with p rare tokens of their own enter no long list; what still meets in a list is first held against leaders of the list.
 5. Candidates are probed: the tokens of one in the sorted tokens of the other. First each against one partner or leader (a
-   star, not all pairs); what that links is one component, and then the pairs between different components.
+   star, not all pairs); what that links is one component, and then the pairs between different components. In a long
+   list these are found block against block, by counting what they share of their first p + e tokens, of which linked ones
+   share e + 1: pairs that merely meet in the list are not made rows.
 
 No pair is dropped or capped: step 5 leaves out pairs only where both are known to be connected already.
 """
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from quire.llm import common as C
 
-#: Leaders of each list; lists up to this length give pairs at once.
-STARS, LONG_LIST = 2, 32
+#: Leaders of each list; lists up to this length give pairs at once; documents of a block of a longer one.
+STARS, LONG_LIST, BLOCK = 3, 32, 512
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -131,24 +133,24 @@ def _probe(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, frequent: DataFrame, t: float) -> DataFrame:
-    """(token, doc_id) of each document's short lists, in the order (frequent or not, hash)."""
+    """(doc_id, p, tokens) of each document: its first p + e tokens in the order (frequent or not, hash), p of them for its short lists."""
     own = sets.select("doc_id", F.explode("tokens").alias("token")).join(C.small_side(frequent), "token").groupBy("doc_id").agg(F.collect_list("token").alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tokens, last = (batch.column(i) for i in range(3))
-            out_t, out_d = [], []
+            size, out = [], []
             for i in range(batch.num_rows):
                 s = tokens[i].values.to_numpy()
                 p = len(s) - needed(len(s), t) + 1
                 if last[i].is_valid:
                     late = np.isin(s, last[i].values.to_numpy())
                     s = np.concatenate((s[~late], s[late]))
-                out_t.append(s[:p])
-                out_d.append(np.full(p, ids[i].as_py(), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int64)])) for x in (out_t, out_d)], ["token", "doc_id"])
+                size.append(p)
+                out.append(s[: 2 * p])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "p", "tokens"])
 
-    return sets.join(own, "doc_id", "left").select("doc_id", "tokens", "last").mapInArrow(run, "token long, doc_id long")
+    return sets.join(own, "doc_id", "left").select("doc_id", "tokens", "last").mapInArrow(run, "doc_id long, p int, tokens array<long>")
 
 
 def link_components(docs: DataFrame, k: int = 5, t: float = 0.8, long_list: int = LONG_LIST, stars: int = STARS) -> DataFrame:
@@ -177,11 +179,12 @@ def link_components(docs: DataFrame, k: int = 5, t: float = 0.8, long_list: int
     sets = C.cut(_sets(docs.join(C.small_side(ids), "doc_id", "left_semi"), k, "set", t))
     hard_sets = sets.join(C.small_side(hard), "doc_id", "left_semi")
     frequent = C.cut(hard_sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where(F.col("count") > long_list).select("token"))
-    short = C.cut(_prefixes(hard_sets, frequent, t))
+    firsts = C.cut(_prefixes(hard_sets, frequent, t))
+    short = firsts.select("doc_id", F.explode(F.slice("tokens", F.lit(1), F.col("p"))).alias("token"))
     first = C.cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(_stars(short, stars)).distinct())
     linked = C.cut(_probe(first, sets, t).unionByName(same_id))
     found = C.cut(C.components(linked))
-    rest = _between(pairs.join(first, ["a", "b"], "left_anti"), found).unionByName(_apart(short, found, long_list)).distinct()
+    rest = _between(pairs.join(first, ["a", "b"], "left_anti"), found).unionByName(_apart(short, firsts, found, long_list)).distinct()
     more = C.cut(_probe(rest.join(first, ["a", "b"], "left_anti"), sets, t))
     if not more.isEmpty():
         joined = _rooted(more, found).select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
@@ -222,21 +225,43 @@ def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return _rooted(pairs, found).where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
 
 
-def _apart(short: DataFrame, found: DataFrame, long_list: int) -> DataFrame:
-    """Distinct pairs (a < b) that share a list and are not known to be connected."""
+def _apart(short: DataFrame, firsts: DataFrame, found: DataFrame, long_list: int, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a < b) that share a list, may be linked and are not known to be connected."""
     rooted = short.join(found.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    mixed = rooted.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi")
-    rooted = rooted.join(mixed.select("token", "size"), "token")
+    mixed = C.cut(rooted.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token", "size"))
+    rooted = rooted.join(mixed, "token")
     # equal lists of different tokens give the same pairs: each distinct list counts once
     lists = rooted.where(F.col("size") <= long_list).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("doc_id", "root"))).alias("docs")).select("docs").distinct()
-    few = _pairs(lists.withColumn("c", F.lit(1))).where("x.root != y.root").select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-    long = rooted.where(F.col("size") > long_list)
-    # a member is held against the members of other components only
-    main = long.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    odd = long.join(main, "token").where("root != main").select("token", F.col("doc_id").alias("x"), F.col("root").alias("rx"))
-    many = odd.join(long.select("token", F.col("doc_id").alias("y"), F.col("root").alias("ry")), "token").where("rx != ry")
-    many = many.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return few.unionByName(many).distinct()
+    few = _pairs(lists.withColumn("c", F.lit(1))).where("x.root != y.root")
+    few = few.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    sided = rooted.where(F.col("size") > long_list).withColumn("blocks", F.ceil(F.col("size") / block)).withColumn("side", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    spread = sided.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("token", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "doc_id", "root")
+    keys = ["token", "i", "j"]
+    spread = spread.join(firsts, "doc_id").select(*keys, "side", "doc_id", "root", "p", "tokens").repartition(*keys).sortWithinPartitions(*keys, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in C.groups(batches, len(keys)):
+            side, ids, root, p = (group.column(c).to_numpy() for c in ("side", "doc_id", "root", "p"))
+            lists = [np.array(x, np.int64) for x in group.column("tokens").to_pylist()]
+            size = np.array([len(x) for x in lists])
+            need = np.maximum(size - p, 1)  # one less than is shared: the bound can be off by one for very small sets
+            _, at, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+            row, column = np.repeat(np.arange(len(lists)), size), np.cumsum(count > 1) - 1
+            met = count[at] > 1
+            same = np.zeros((len(lists), len(lists)), np.float32)
+            for lo in range(0, int(column[-1]) + 1, 4096):  # in strips: memory is bounded whatever the lists hold
+                part = met & (column[at] >= lo) & (column[at] < lo + 4096)
+                has = np.zeros((len(lists), 4096), np.float32)
+                has[row[part], column[at][part] - lo] = 1
+                same += has @ has.T
+            near = (same >= np.maximum(need[:, None], need[None, :])) & (root[:, None] != root[None, :]) & (ids[:, None] < ids[None, :])
+            if group.column("i")[0] != group.column("j")[0]:
+                near &= side[:, None] != side[None, :]
+            a, b = np.nonzero(near)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
+
+    return few.unionByName(spread.mapInArrow(run, "a long, b long")).distinct()
 
 
 def near_duplicates_out(docs: DataFrame, k: int = 5, t: float = 0.8) -> DataFrame:
