@@ -90,7 +90,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     ones at a place one stands for it in the near matching.
     """
     line = lines_of(docs)
-    n = F.length("line") - F.length(F.translate("line", " ", "")) + 1
+    n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
     ends = F.xxhash64(F.substring_index("line", " ", _END)).alias("head"), F.xxhash64(F.substring_index("line", " ", -_END)).alias("tail")
     keyed = line.select("doc_id", "line_no", _place(F.col("doc_id"), F.col("line_no")).alias("o"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), n.alias("n"), *ends)
     distinct = C.cut(keyed.groupBy("k1", "k2").agg(F.min("o").alias("o"), F.max("o").alias("last"), F.max("n").alias("n"), F.max("head").alias("head"), F.max("tail").alias("tail")))
