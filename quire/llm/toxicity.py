@@ -146,8 +146,9 @@ def train(texts: list[str], labels: list[int], dimensions: int = DIMENSIONS, win
         data = toxic + clean
         of = np.repeat([1, 0], [len(toxic), len(clean)])
         balance = np.where(of == 1, 0.5 / of.mean(), 0.5 / (1 - of.mean())).astype(np.float32)
-        for _ in range(passes):
-            for batch in np.array_split(rng.permutation(len(of)), max(1, len(of) // 64)):
+        n_batches = max(1, len(of) // 64)
+        for _ in range(max(passes, -(-120 // n_batches))):  # few rows are gone over more often
+            for batch in np.array_split(rng.permutation(len(of)), n_batches):
                 grams, w = (np.concatenate([data[i][k] for i in batch]) for k in (0, 1))
                 row = np.repeat(np.arange(len(batch)), [len(data[i][0]) for i in batch])
                 u, local = np.unique(grams, return_inverse=True)
