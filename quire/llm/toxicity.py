@@ -12,7 +12,7 @@ of each clean text likewise (multiple-instance learning).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -76,11 +76,12 @@ def _means(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """gram_odds: what each bucket adds to a word's log-odds (over the word's n-grams); bias: of an empty window."""
+    """gram_odds: what each bucket adds to a word's log-odds (over the word's n-grams); bias: of every window; empty: the score of a text without words."""
 
     gram_odds: np.ndarray
     bias: float
     window: int = WINDOW
+    empty: float = 0.0
 
     def word_odds(self, f: Features) -> np.ndarray:
         return _means(self.gram_odds[f.grams], f.word_ends) * f.fresh if len(f.word_ends) else np.zeros(0)
@@ -101,9 +102,10 @@ class Model:
         return odds[first] * _SCALE + self.bias, a[first], b[first]
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Of each text the probability of being toxic; without words that of an empty window."""
-        odds = self.best_windows(features(texts))[0]
-        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        """Of each text the probability of being toxic; for one without words the share of toxic labels."""
+        f = features(texts)
+        odds = self.best_windows(f)[0]
+        return np.where(np.diff(f.text_ends, prepend=0) > 0, 1 / (1 + np.exp(-np.clip(odds, -500, 500))), self.empty)
 
 
 def _bags(f: Features, a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -187,16 +189,16 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, may_lear
     chosen = C.cut(pick[0].unionByName(pick[1]))
     rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
     rows = sorted(rows.collect())  # at most 2 * most_rows, unless ids repeat
-    return train([r.text for r in rows], [r.toxic for r in rows])
+    share = own.agg(F.avg("toxic")).first()[0] or 0.0
+    return replace(train([r.text for r in rows], [r.toxic for r in rows]), empty=float(share))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) of each row of docs(doc_id, text); null text counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.gram_odds.astype(np.float32), model.bias, model.window))  # fixed size
+    shared = docs.sparkSession.sparkContext.broadcast((model.gram_odds.astype(np.float32), model.bias, model.window, model.empty))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds, bias, window = shared.value
-        own = Model(odds, bias, window)
+        own = Model(*shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -211,12 +213,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of docs that score below the threshold, all columns. Rows are judged by their own text, whatever their id."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.gram_odds.astype(np.float32), model.bias, model.window))
+    shared = docs.sparkSession.sparkContext.broadcast((model.gram_odds.astype(np.float32), model.bias, model.window, model.empty))
     place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        odds, bias, window = shared.value
-        own = Model(odds, bias, window)
+        own = Model(*shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)

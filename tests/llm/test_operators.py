@@ -145,7 +145,8 @@ def test_toxicity_learns_and_carries_over_to_misspellings(spark):
     for i in range(400):
         w = rng.choices(words, k=80)
         if i % 4 == 0:
-            w[rng.randrange(80)] = rng.choice(["zorkwit", "zorkwits", "zorkwitty"])
+            for at in rng.sample(range(80), 4):
+                w[at] = rng.choice(["zorkwit", "zorkwits", "zorkwitty"])
         rows.append(" ".join(w))
         labels.append((i, 1, int(i % 4 == 0)))
     rows += [None, "", "the zorkwiting one"]
@@ -154,7 +155,7 @@ def test_toxicity_learns_and_carries_over_to_misspellings(spark):
     got = {r.doc_id: r.score for r in toxicity.score(d, model).collect()}
     held = {r.doc_id for r in d.where(~toxicity.learnable(F.col("doc_id"))).collect()}
     assert np.mean([(got[i] >= 0.3) == (i % 4 == 0) for i in held if i < 400]) > 0.95
-    assert got[402] > 0.3 > got[400] == got[401] and toxicity.score(d.limit(0), model).count() == 0
+    assert got[402] >= 0.3 > got[400] == got[401] and toxicity.score(d.limit(0), model).count() == 0
     assert {r.doc_id for r in toxicity.without_toxic(d, model).collect()} == {i for i, s in got.items() if s < 0.3}
 
 
