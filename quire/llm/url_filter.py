@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -96,12 +97,12 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("int"))
 
 
-def segment(name: str, cost: dict[str, float], unknown: float) -> list[str]:
+def segment(name: str, cost: dict[str, float], unknown: float, longest: int | None = None) -> list[str]:
     """The cheapest split of a run of letters into words of the lexicon; a letter outside of a word costs `unknown`.
 
-    Neighbouring unknown letters are given back as one word.
+    Neighbouring unknown letters are given back as one word. longest: of the lexicon's words, if known.
     """
-    longest = max(map(len, cost), default=1)
+    longest = longest or max(map(len, cost), default=1)
     best, back = [0.0], [(0, False)]
     for j in range(1, len(name) + 1):
         options = [(best[j - 1] + unknown, j - 1, False)]
@@ -132,11 +133,15 @@ class UrlModel:
     prior: float = 0.0
     remembered: dict[str, list[str]] = field(default_factory=dict, repr=False)
 
+    @cached_property
+    def longest(self) -> int:
+        return max(map(len, self.cost), default=1)
+
     def words(self, text: str) -> list[str]:
         out = []
         for run in re.findall(r"[a-z]+|[0-9]+|[^\x00-\x7f]+", text.lower()):
             if (got := self.remembered.get(run)) is None:
-                got = segment(run, self.cost, self.unknown)
+                got = segment(run, self.cost, self.unknown, self.longest)
                 if len(self.remembered) >= 100_000:
                     self.remembered.clear()
                 self.remembered[run] = got
