@@ -45,7 +45,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("pii_surrogates", replace_personal_data),
     ("packing", pack),
 ]
-#: The classifier and the tokenizer are beyond SQL; tests/llm/test_pipeline.py holds run() against a brute-force version.
+#: The classifier and the tokenizer are beyond SQL. A brute-force version of run() is still to be written.
 ORACLE_SQL = None
 
 
