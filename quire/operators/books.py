@@ -168,7 +168,7 @@ def rag_chunks(sections: DataFrame, config: Chunking = Chunking()) -> DataFrame:
     A chunk is closed when the next line would take it past its size and it has min_chunk bytes; the tail of overlap_tokens * 4
     characters is carried on. Lines are never split; a last chunk below min_chunk is left out. start_char counts in the lines joined by \\n.
     """
-    lines = F.filter(F.transform(F.split("plain_text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("plain_text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     most, tail = 4 * config.max_tokens, 4 * config.overlap_tokens
     zero = F.struct(F.lit("").alias("cur"), F.lit(0).alias("start"), F.lit(0).alias("off"), F.array().cast("array<struct<start:int,body:string>>").alias("out"))
 
