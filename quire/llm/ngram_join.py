@@ -15,7 +15,8 @@ sort-merge takes the heap's place); what they give is probed in the long ones by
 5. Candidates are probed: the tokens of one in the sorted tokens of the other. First each against one partner or leader (a
    star, not all pairs); what that links is one component, and then the pairs between different components. In a long
    list these are found block against block, by counting what they share of their first p + e tokens, of which linked ones
-   share e + 1: pairs that merely meet in the list are not made rows.
+   share e + 1, in the list of the lowest token that a pair shares, and probed there: only links that join components of the
+   block become rows, fewer than it has documents.
 
 No pair is dropped or capped: step 5 leaves out pairs only where both are known to be connected already.
 """
@@ -33,6 +34,8 @@ from quire.llm import common as C
 
 #: Leaders of each list; lists up to this length give pairs at once; documents of a block of a longer one.
 STARS, LONG_LIST, BLOCK = 3, 32, 512
+#: Tokens of one document's partners that are probed at once.
+PROBED = 1 << 20
 _FACTORS = np.random.default_rng(7).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -133,7 +136,7 @@ def _probe(pairs: DataFrame, sets: DataFrame, t: float) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, frequent: DataFrame, t: float) -> DataFrame:
-    """(doc_id, p, tokens) of each document: its first p + e tokens in the order (frequent or not, hash), p of them for its short lists."""
+    """(doc_id, p, tokens) of each document: its tokens in the order (frequent or not, hash), the first p of them for its lists."""
     own = sets.select("doc_id", F.explode("tokens").alias("token")).join(C.small_side(frequent), "token").groupBy("doc_id").agg(F.collect_list("token").alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,13 +150,13 @@ def _prefixes(sets: DataFrame, frequent: DataFrame, t: float) -> DataFrame:
                     late = np.isin(s, last[i].values.to_numpy())
                     s = np.concatenate((s[~late], s[late]))
                 size.append(p)
-                out.append(s[: 2 * p])
+                out.append(s)
             yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int32()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "p", "tokens"])
 
     return sets.join(own, "doc_id", "left").select("doc_id", "tokens", "last").mapInArrow(run, "doc_id long, p int, tokens array<long>")
 
 
-def link_components(docs: DataFrame, k: int = 5, t: float = 0.8, long_list: int = LONG_LIST, stars: int = STARS) -> DataFrame:
+def link_components(docs: DataFrame, k: int = 5, t: float = 0.8, long_list: int = LONG_LIST, stars: int = STARS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs(doc_id, text).
 
     component_id is the smallest doc_id reachable by links of similarity at least t, itself included. Documents with
@@ -184,8 +187,9 @@ def link_components(docs: DataFrame, k: int = 5, t: float = 0.8, long_list: int
     first = C.cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").unionByName(_stars(short, stars)).distinct())
     linked = C.cut(_probe(first, sets, t).unionByName(same_id))
     found = C.cut(C.components(linked))
-    rest = _between(pairs.join(first, ["a", "b"], "left_anti"), found).unionByName(_apart(short, firsts, found, long_list)).distinct()
-    more = C.cut(_probe(rest.join(first, ["a", "b"], "left_anti"), sets, t))
+    few, many = _apart(short, firsts, found, long_list, t, block)
+    rest = _between(pairs.join(first, ["a", "b"], "left_anti"), found).unionByName(few).distinct()
+    more = C.cut(_probe(rest.join(first, ["a", "b"], "left_anti"), sets, t).unionByName(many))
     if not more.isEmpty():
         joined = _rooted(more, found).select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         found = C.cut(C.components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(joined)))
@@ -225,8 +229,11 @@ def _between(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return _rooted(pairs, found).where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
 
 
-def _apart(short: DataFrame, firsts: DataFrame, found: DataFrame, long_list: int, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (a < b) that share a list, may be linked and are not known to be connected."""
+def _apart(short: DataFrame, firsts: DataFrame, found: DataFrame, long_list: int, t: float, block: int) -> tuple[DataFrame, DataFrame]:
+    """Of documents that share a list and are not known to be connected: pairs (a < b) of short lists, and links of long ones.
+
+    Of the links of two blocks, those that join components suffice; so the rows are fewer than the documents of both.
+    """
     rooted = short.join(found.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     mixed = C.cut(rooted.groupBy("token").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("token", "size"))
     rooted = rooted.join(mixed, "token")
@@ -242,26 +249,61 @@ def _apart(short: DataFrame, firsts: DataFrame, found: DataFrame, long_list: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in C.groups(batches, len(keys)):
             side, ids, root, p = (group.column(c).to_numpy() for c in ("side", "doc_id", "root", "p"))
-            lists = [np.array(x, np.int64) for x in group.column("tokens").to_pylist()]
-            size = np.array([len(x) for x in lists])
-            need = np.maximum(size - p, 1)  # one less than is shared: the bound can be off by one for very small sets
-            _, at, count = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-            row, column = np.repeat(np.arange(len(lists)), size), np.cumsum(count > 1) - 1
-            met = count[at] > 1
-            same = np.zeros((len(lists), len(lists)), np.float32)
-            for lo in range(0, int(column[-1]) + 1, 4096):  # in strips: memory is bounded whatever the lists hold
-                part = met & (column[at] >= lo) & (column[at] < lo + 4096)
-                has = np.zeros((len(lists), 4096), np.float32)
-                has[row[part], column[at][part] - lo] = 1
-                same += has @ has.T
-            near = (same >= np.maximum(need[:, None], need[None, :])) & (root[:, None] != root[None, :]) & (ids[:, None] < ids[None, :])
+            tokens = group.column("tokens").combine_chunks()
+            flat, offsets = tokens.values.to_numpy(), tokens.offsets.to_numpy()
+            lists = [flat[x:y] for x, y in zip(offsets[:-1], offsets[1:])]
+            near = _near(lists, p, group.column("token")[0].as_py()) & (root[:, None] != root[None, :])
             if group.column("i")[0] != group.column("j")[0]:
                 near &= side[:, None] != side[None, :]
-            a, b = np.nonzero(near)
+            a, b = _joining(lists, near, root, t)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["a", "b"])
 
-    return few.unionByName(spread.mapInArrow(run, "a long, b long")).distinct()
+    return few, spread.mapInArrow(run, "a long, b long")
+
+
+def _near(lists: list[np.ndarray], p: np.ndarray, token: int) -> np.ndarray:
+    """Matrix of pairs i < j that may be linked, by what they share of their first tokens, and share none of the first p below this one."""
+    heads = [x[: 2 * n] for x, n in zip(lists, p)]
+    size = np.array([len(x) for x in heads])
+    need = np.maximum(size - p, 1)  # one less than is shared: the bound can be off by one for very small sets
+    distinct, at, count = np.unique(np.concatenate(heads), return_inverse=True, return_counts=True)
+    row, column = np.repeat(np.arange(len(heads)), size), np.cumsum(count > 1) - 1
+    met = count[at] > 1
+    early = (distinct[at] < token) & (np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) < np.repeat(p, size))
+    same, before = np.zeros((2, len(heads), len(heads)), np.float32)
+    for lo in range(0, int(column[-1]) + 1, 4096):  # in strips: memory is bounded whatever the lists hold
+        part = met & (column[at] >= lo) & (column[at] < lo + 4096)
+        for sums, of in ((same, part), (before, part & early)):
+            cells = column[at][of] - lo
+            if len(cells):
+                has = np.zeros((len(heads), int(cells.max()) + 1), np.float32)
+                has[row[of], cells] = 1
+                sums += has @ has.T
+    return np.triu((same >= np.maximum(need[:, None], need[None, :])) & (before == 0), 1)
+
+
+def _joining(lists: list[np.ndarray], near: np.ndarray, root: np.ndarray, t: float) -> tuple[list[int], list[int]]:
+    """Of the pairs of the matrix, links (rows, columns) that join what is not yet connected: a spanning forest of the components."""
+    size, share = np.array([len(x) for x in lists]), round(t * 10_000)
+    group, out = np.unique(root, return_inverse=True)[1], ([], [])
+    for i in np.flatnonzero(near.any(axis=1)):
+        others, mine = np.flatnonzero(near[i]), np.sort(lists[i])
+        others = others[share * np.maximum(size[others], size[i]) <= 10_000 * np.minimum(size[others], size[i])]
+        for lo, hi in C.slices(size[others].tolist(), PROBED):
+            some = others[lo:hi][group[others[lo:hi]] != group[i]]
+            if not len(some):
+                continue
+            theirs = np.concatenate([lists[j] for j in some])
+            at = np.searchsorted(mine, theirs)
+            at[at == len(mine)] = 0
+            same = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.cumsum(size[some]) - size[some])
+            for j in some[10_000 * same >= share * (size[some] + size[i] - same)]:
+                if group[j] != group[i]:
+                    group[group == group[j]] = group[i]
+                    out[0].append(i)
+                    out[1].append(j)
+    return out
 
 
 def near_duplicates_out(docs: DataFrame, k: int = 5, t: float = 0.8) -> DataFrame:

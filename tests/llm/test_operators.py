@@ -61,6 +61,27 @@ def test_ngram_join(spark, k, t, long_list):
     assert [got[i].n_shingles for i in range(len(rows))] == [len(s) for s in sets]
 
 
+def chains(n=120, seed=3):
+    """Texts on a common passage; each replaces some words of an earlier one, so that few pairs of a list link."""
+    rng = random.Random(seed)
+    passage, out = [f"w{i}" for i in range(60)], []
+    for i in range(n):
+        words = list(rng.choice(out).split()) if out and i % 3 else list(passage)
+        for _ in range(rng.randint(1, 3)):
+            words[rng.randrange(len(words))] = f"v{rng.randrange(50)}"
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("k,t,block", [(2, 0.9, 16), (4, 0.75, 16), (4, 0.85, 40)])
+def test_ngram_join_block_against_block(spark, k, t, block):
+    rows = chains()
+    sets, root = brute_components(rows, k, t)
+    assert 1 < len(set(root)) < len(rows)
+    got = {r.doc_id: r.component_id for r in ngram_join.link_components(docs(spark, rows), k, t, 2, 1, block).collect()}
+    assert [got[i] for i in range(len(rows))] == root
+
+
 def test_ngram_join_empty_null_and_repeated_ids(spark):
     assert ngram_join.link_components(docs(spark, [])).count() == 0
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (3, "a b c d e f"), (5, "g h i j k l"), (9, "g h i j k l")]
