@@ -13,7 +13,7 @@ one. Keys are reduced to their earliest lines before a shuffle, however many lin
 
 Lines are first made distinct. Then a lossless test leaves most out: an edit lies either behind the first or before the
 last four words, so a line of nine or more words whose first four and last four words no other distinct line has is alike to
-none. A line's place is one number, doc_id * 2**31 + line_no: its name and its rank.
+none. If only its last four are its own, the edit lies in them, and only variants of these words are emitted; so with the first. A line's place is one number, doc_id * 2**31 + line_no: its name and its rank.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from quire.llm import common as C
 from quire.llm.quality import _BLANKS
 
 _END, _LOW = 4, (1 << 32) - 1
+_ALL, _FIRST, _LAST = 0, 1, 2
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -66,20 +67,23 @@ def one_edit(a: Column, b: Column) -> Column:
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, o, kind) of the variants of lines (o, w): kind 0 whole, 1 dropped, 2 replaced."""
+    """(key, o, kind) of the variants of lines (o, w, side): kind 0 whole, 1 dropped, 2 replaced. side: all words, the first or the last ones."""
     n = F.size("w")
     edge = F.array(F.lit("\n"))  # no word
-    a = lines.select("o", n.alias("n"), F.concat(edge, F.col("w"), edge).alias("e"), F.transform("w", lambda x, i: F.xxhash64(x, i)).alias("hp"))
+    a = lines.select("o", "side", n.alias("n"), F.concat(edge, F.col("w"), edge).alias("e"), F.transform("w", lambda x, i: F.xxhash64(x, i)).alias("hp"))
     pair = lambda x, y: F.xxhash64(x, y)
     part = lambda i, less: F.slice("e", F.lit(i), F.size("e") - less)
-    a = a.select("o", "n", "hp", F.zip_with(part(1, 1), part(2, 1), pair).alias("hl"), F.zip_with(part(1, 2), part(3, 2), pair).alias("new"))
+    a = a.select("o", "side", "n", "hp", F.zip_with(part(1, 1), part(2, 1), pair).alias("hl"), F.zip_with(part(1, 2), part(3, 2), pair).alias("new"))
     a = a.select("*", *(x.alias(f"p{i}") for i, x in enumerate(_sums(F.col("hp")))), *(x.alias(f"s{i}") for i, x in enumerate(_sums(F.col("hl")))))
-    one = F.arrays_zip("hp", F.slice("hl", F.lit(1), F.col("n")).alias("l"), F.slice("hl", F.lit(2), F.col("n")).alias("r"), "new")
-    a = a.select("o", "n", "p0", "p1", "s0", "s1", F.posexplode(one).alias("i", "z"))
+    many = F.when(F.col("side") == _ALL, F.col("n")).otherwise(F.lit(_END))
+    a = a.withColumn("many", many).withColumn("at", F.when(F.col("side") == _LAST, F.col("n") - _END).otherwise(0))
+    cut = lambda c, i: F.slice(c, F.col("at") + i, F.col("many"))
+    one = F.arrays_zip(cut("hp", 1).alias("hp"), cut("hl", 1).alias("l"), cut("hl", 2).alias("r"), cut("new", 1).alias("new"))
+    a = a.select("o", "n", "p0", "p1", "s0", "s1", "at", F.posexplode(one).alias("j", "z")).withColumn("i", F.col("at") + F.col("j"))
     less = [F.col(f"s{i}") - f(F.col("z.l")) - f(F.col("z.r")) + f(F.col("z.new")) for i, f in enumerate((_hi, _lo))]
     keys = [F.xxhash64("s0", "s1", "n"), F.xxhash64(*less, F.col("n") - 1), F.xxhash64(F.col("p0") - _hi(F.col("z.hp")), F.col("p1") - _lo(F.col("z.hp")), "i", "n")]
     made = [F.struct(k.alias("key"), F.lit(kind).alias("kind")) for kind, k in enumerate(keys)]
-    return a.select("o", F.inline(F.when(F.col("i") == 0, F.array(*made)).otherwise(F.array(*made[1:]))))
+    return a.select("o", F.inline(F.when(F.col("j") == 0, F.array(*made)).otherwise(F.array(*made[1:]))))
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -97,11 +101,13 @@ def duplicates(docs: DataFrame) -> DataFrame:
     # an end that several lines share: kept as narrow rows, with a flag
     shared = lambda c: distinct.where(f"n >= {_END}").groupBy(c).agg(F.count("*").alias("c")).where("c > 1").select(c, F.lit(True).alias(f"{c}_shared"))
     tested = distinct.join(shared("head"), "head", "left").join(shared("tail"), "tail", "left")
-    suspects = C.cut(tested.where(f"n < {2 * _END + 1} or head_shared or tail_shared").select("o"))
+    few = F.col("n") < 2 * _END + 1
+    side = F.when(few, _ALL).when(F.col("tail_shared").isNull(), _LAST).when(F.col("head_shared").isNull(), _FIRST).otherwise(_ALL)
+    suspects = C.cut(tested.where(few | F.col("head_shared") | F.col("tail_shared")).select("o", side.alias("side")))
     words = F.split("line", " ", -1)
     at = line.select(_place(F.col("doc_id"), F.col("line_no")).alias("o"), "line").join(C.small_side(suspects), "o")
-    some = C.cut(at.groupBy("o").agg(F.min("line").alias("line")) if _repeats(docs) else at)
-    lines = some.select("o", words.alias("w"))
+    some = C.cut(at.groupBy("o").agg(F.min("line").alias("line"), F.lit(_ALL).alias("side")) if _repeats(docs) else at)
+    lines = some.select("o", "side", words.alias("w"))
     variants = _variants(lines)
     low = lambda test: F.min(F.when(test, F.col("o")))
     keys = variants.groupBy("key").agg(F.count("*").alias("c"), low(F.col("kind") == 0).alias("whole"), low(F.col("kind") != 0).alias("other"))

@@ -184,7 +184,12 @@ def test_line_dedup(spark):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(12)]
     lines = [" ".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(80)]
-    rows = ["\n".join(rng.choices(lines, k=5) + ["", " "]) for _ in range(40)] + [None, "", "\n"]
+    for _ in range(60):  # longer ones with an edit anywhere, so that they share the head, the tail, both or neither
+        w = rng.choice([x.split() for x in lines if x.count(" ") > 7])
+        i = rng.randrange(len(w))
+        w[i : i + rng.randint(0, 1)] = rng.choices(["new", "word"], k=rng.randint(0, 1))
+        lines.append(" ".join(w))
+    rows = ["\n".join(rng.choices(lines, k=5) + ["", " "]) for _ in range(60)] + [None, "", "\n"]
     seen, want = [], []
     for t in rows:
         keep = []
