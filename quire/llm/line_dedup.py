@@ -13,7 +13,8 @@ one. Keys are reduced to their earliest lines before a shuffle, however many lin
 
 Lines are first made distinct. Then a lossless test leaves most out: an edit lies either behind the first or before the
 last four words, so a line of nine or more words whose first four and last four words no other distinct line has is alike to
-none. If only its last four are its own, the edit lies in them, and only variants of these words are emitted; so with the first. A line's place is one number, doc_id * 2**31 + line_no: its name and its rank.
+none. Lines of fewer than `least_words` words match equal ones only: a single edit could be most of them, and any two lines of
+one word are an edit apart. If only its last four are its own, the edit lies in them, and only variants of these words are emitted; so with the first. A line's place is one number, doc_id * 2**31 + line_no: its name and its rank.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from quire.llm import common as C
 from quire.llm.quality import _BLANKS
 
+#: Words, blank ones not counted, from which on a line is held against others that are not equal: one edit is then an eighth of it at most.
+LEAST_WORDS = 8
 _END, _LOW = 4, (1 << 32) - 1
 _ALL, _FIRST, _LAST = 0, 1, 2
 
@@ -86,10 +89,10 @@ def _variants(lines: DataFrame) -> DataFrame:
     return a.select("o", F.inline(F.when(F.col("j") == 0, F.array(*made)).otherwise(F.array(*made[1:]))))
 
 
-def duplicates(docs: DataFrame) -> DataFrame:
+def duplicates(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """(doc_id, line_no) of the lines to leave out: those with an alike line earlier in the order (doc_id, line_no).
 
-    Equal lines are alike; so are lines one word apart. A line is measured against all earlier lines, whether or not they
+    Equal lines are alike; so are lines one word apart, if both have least_words words that are not blank. A line is measured against all earlier lines, whether or not they
     stay. Rows that share a doc_id (null included, which comes first) share its places: equal lines at one place all stay, and of different
     ones at a place one stands for it in the near matching.
     """
@@ -99,13 +102,14 @@ def duplicates(docs: DataFrame) -> DataFrame:
     keyed = line.select("doc_id", "line_no", _place(F.col("doc_id"), F.col("line_no")).alias("o"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), n.alias("n"), *ends)
     distinct = C.cut(keyed.groupBy("k1", "k2").agg(F.min("o").alias("o"), F.max("o").alias("last"), F.max("n").alias("n"), F.max("head").alias("head"), F.max("tail").alias("tail")))
     # an end that several lines share: kept as narrow rows, with a flag
-    shared = lambda c: distinct.where(f"n >= {_END}").groupBy(c).agg(F.count("*").alias("c")).where("c > 1").select(c, F.lit(True).alias(f"{c}_shared"))
+    shared = lambda c: distinct.where(f"n >= {max(_END, least_words)}").groupBy(c).agg(F.count("*").alias("c")).where("c > 1").select(c, F.lit(True).alias(f"{c}_shared"))
     tested = distinct.join(shared("head"), "head", "left").join(shared("tail"), "tail", "left")
     few = F.col("n") < 2 * _END + 1
     side = F.when(few, _ALL).when(F.col("tail_shared").isNull(), _LAST).when(F.col("head_shared").isNull(), _FIRST).otherwise(_ALL)
-    suspects = C.cut(tested.where(few | F.col("head_shared") | F.col("tail_shared")).select("o", side.alias("side")))
+    suspects = C.cut(tested.where(F.col("n") >= least_words).where(few | F.col("head_shared") | F.col("tail_shared")).select("o", side.alias("side")))
     words = F.split("line", " ", -1)
     at = line.select(_place(F.col("doc_id"), F.col("line_no")).alias("o"), "line").join(C.small_side(suspects), "o")
+    at = at.where(F.size(F.filter(words, lambda w: F.btrim(w, F.lit(_BLANKS)) != "")) >= least_words) if least_words > 1 else at
     some = C.cut(at.groupBy("o").agg(F.min("line").alias("line"), F.lit(_ALL).alias("side")) if _repeats(docs) else at)
     lines = some.select("o", "side", words.alias("w"))
     variants = _variants(lines)
@@ -118,7 +122,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     both = pairs.join(text("o", "x"), "o").join(text("p", "y"), "p")
     near = C.cut(both.where(one_edit(F.col("x"), F.col("y"))).select("o").distinct().withColumn("near", F.lit(True)))
     # only texts with several places, or with an earlier alike line, lose any
-    lose = distinct.join(near, "o", "left").where("near or o != last").select("k1", "k2", F.when(F.col("near").isNull(), F.col("o")).alias("stays"))
+    lose = distinct.join(near, "o", "left").withColumn("near", F.when(F.col("n") >= least_words, F.col("near"))).where("near or o != last").select("k1", "k2", F.when(F.col("near").isNull(), F.col("o")).alias("stays"))
     hit = keyed.select("doc_id", "line_no", "o", "k1", "k2").join(lose, ["k1", "k2"])
     return hit.where("stays is null or stays != o").select("doc_id", "line_no")
 
@@ -143,7 +147,7 @@ def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return out.select(*docs.columns, F.col("_n").cast("long").alias("n_lines"), F.col("_r").cast("long").alias("n_removed"))
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
     """docs with each line kept at its earliest place only; columns n_lines and n_removed follow (replacing any of that name)."""
     docs = docs.drop("n_lines", "n_removed")
-    return without_lines(docs, duplicates(docs))
+    return without_lines(docs, duplicates(docs, least_words))

@@ -45,7 +45,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), line_dedup.LEAST_WORDS).select("doc_id", "text", "n_lines", "n_removed")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,6 +212,13 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_leaves_short_lines_that_are_not_equal(spark):
+    long = "a b c d e f g h"
+    rows = ["Thing.\nDie.\nPation.\none two\none three\none", f"Die.\n{long}\na b c d e f g\n{long} i", f"        x\n        y\n{long.replace('d', 'z')}"]
+    got = [r.text for r in line_dedup.dedup_lines(docs(spark, rows), line_dedup.LEAST_WORDS).orderBy("doc_id").collect()]
+    assert got == [rows[0], f"{long}\na b c d e f g", "        x\n        y"]
+
+
 def test_packing(spark):
     rows = [*texts(90), "long " * 5000]
     got = packing.pack(docs(spark, rows), PATH, capacity=256, rounds=40, buckets=4).toPandas()
