@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from quire.llm import common as C
 
 #: Codes, each with a turn of its own; filters of a code that a vector passes on average; vectors that share a filter by chance; rows of a block.
-#: With these, 99.5 % or more of random pairs of cosine 0.98 share a filter, in 64 dimensions and for up to five million vectors.
+#: The README has the recall simulated with these.
 CODES, PASSED, CHANCE, BLOCK = 8, 4, 1, 512
 
 
@@ -42,9 +42,9 @@ class ProductCode:
 
     @classmethod
     def of(cls, dim: int, vectors: int, passed: int, seed: int) -> ProductCode:
-        """Enough filters for chance to put CHANCE vectors in one."""
+        """Enough filters for chance to put CHANCE vectors in one. Two blocks at any size: with three, vectors are left without filters."""
         filters = max(4 * passed, vectors * passed // CHANCE)
-        blocks = max(1, min(dim // 2, 2 if filters <= 1 << 24 else 3 if filters <= 1 << 36 else 4))
+        blocks = max(1, min(dim // 2, 2))
         return cls(dim, blocks, max(2, math.ceil(filters ** (1 / blocks))), passed, seed)
 
     @cached_property
@@ -72,25 +72,30 @@ class ProductCode:
 
     def passed_by(self, vectors: np.ndarray) -> list[np.ndarray]:
         """Of each unit vector the sorted numbers of all filters that it passes."""
-        return self._decode(vectors, self.height)
+        step = max(1, (1 << 20) // self.words)
+        return [f for at in range(0, len(vectors), step) for f in self._decode(vectors[at : at + step], self.height)]
 
     def _decode(self, vectors: np.ndarray, height: float) -> list[np.ndarray]:
         turn, codes = self.codes
         turned = vectors @ turn
         parts = np.array_split(np.arange(self.dim), self.blocks)
         scores = [turned[:, cols] @ c.T for cols, c in zip(parts, codes)]
-        order = [np.argsort(-s, axis=1) for s in scores]
-        ranked = [np.take_along_axis(s, o, 1) for s, o in zip(scores, order)]
+        best = [s.max(axis=1) for s in scores]
         out = []
         for v in range(len(vectors)):
             ids, sums = np.zeros(1, np.int64), np.zeros(1)
             for b in range(self.blocks):
-                best_rest = sum(float(r[v, 0]) for r in ranked[b + 1 :])
+                best_rest = sum(float(x[v]) for x in best[b + 1 :])
+                # the words of this block that reach the height with the best of all others, best first
+                s = scores[b][v]
+                some = np.flatnonzero(s >= height - best_rest - sum(float(x[v]) for x in best[:b]) - 1e-9)
+                order = some[np.argsort(-s[some])]
+                ranked = s[order]
                 # of each partial filter the first words of this block that can still reach the height
-                count = np.searchsorted(-ranked[b][v], sums + best_rest - height, side="right")
+                count = np.searchsorted(-ranked, sums + best_rest - height, side="right")
                 k = np.repeat(np.arange(len(ids)), count)
                 j = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
-                ids, sums = ids[k] * self.words + order[b][v, j], sums[k] + ranked[b][v, j]
+                ids, sums = ids[k] * self.words + order[j], sums[k] + ranked[j]
             out.append(np.sort(ids))
         return out
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on awkward rows: nulls, empty and long texts, ties, repeated rows, empty tables."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -126,6 +127,21 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in (161, 162, 163, 164))
 
 
+def test_vectors_share_filters_at_sizes_beyond_four_million():
+    rng = np.random.default_rng(9)
+    x, z = rng.standard_normal((2, 300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    shared, some = np.zeros(300, bool), np.zeros(300, bool)
+    for i in range(cap_dedup.CODES):
+        code = cap_dedup.ProductCode.of(64, 5_000_000, cap_dedup.PASSED, i)
+        a, b = code.passed_by(x), code.passed_by(y)
+        shared |= [len(np.intersect1d(f, g)) > 0 for f, g in zip(a, b)]
+        some |= [len(f) > 0 for f in a]
+    assert some.all() and shared.mean() >= 0.98
+
+
 def test_surrogates(spark):
     rows = ["Mail a.b7@mail1.example.com or A.B7@mail1.example.com, call +1 (743) 555-3824 4539578763621486.", "Mrs Jane Miller met Mr. Miller; Frau Müller; 10.20.30.40 and token \"2321bac4d15ec8f90433955bf9d3cf61da5bdd1e\"", None, "", "clean text", "+17435553824", "г-н Иван Петров"]
     got = [r.text for r in surrogates.replace(docs(spark, rows)).orderBy("doc_id").collect()]
