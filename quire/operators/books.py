@@ -6,6 +6,7 @@ or the corpus (keywords, duplicates) shuffles, on book_id or the key, with parti
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -229,17 +230,31 @@ def citations(books: DataFrame) -> DataFrame:
     return books.select("book_id", key.alias("cite_key"), F.concat(apa_author, F.lit(" "), y, F.lit(". *"), F.col("title"), F.lit("*."), pub).alias("apa"), F.concat(F.when(inverted != "", F.concat(inverted, F.lit(". "))).otherwise(""), F.lit("*"), F.col("title"), F.lit("*."), pub).alias("mla"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df, written once to the shared checkpoint folder."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+    return df.checkpoint()
+
+
 def toc_flatten(toc: DataFrame, deepest: int = 32) -> DataFrame:
-    """(book_id, node_id, label, depth, breadcrumb) of toc(book_id, node_id, parent_id, ord, label), by a recursive query."""
-    spark = toc.sparkSession
-    toc.createOrReplaceTempView("_quire_toc")
-    return spark.sql(f"""
-        with recursive walk(book_id, node_id, label, depth, breadcrumb) as (
-          select book_id, node_id, label, 0, label from _quire_toc where parent_id is null
-          union all
-          select c.book_id, c.node_id, c.label, w.depth + 1, concat(w.breadcrumb, ' > ', c.label)
-          from walk w join _quire_toc c on c.book_id = w.book_id and c.parent_id = w.node_id where w.depth < {deepest})
-        select book_id, node_id, label, cast(depth as bigint) depth, breadcrumb from walk""")
+    """(book_id, node_id, label, depth, breadcrumb) of toc(book_id, node_id, parent_id, ord, label), level by level.
+
+    A recursive query would stop at spark.sql.cteRecursionRowLimit, which holds for the nodes of all books together.
+    """
+    nodes = _cut(toc.select("book_id", "node_id", "parent_id", "label"))
+    level = nodes.where("parent_id is null").select("book_id", "node_id", "label", F.lit(0).cast("long").alias("depth"), F.col("label").alias("breadcrumb"))
+    out = level
+    child = nodes.where("parent_id is not null").alias("c")
+    for depth in range(1, deepest + 1):
+        on = F.expr("c.book_id = w.book_id and c.parent_id = w.node_id")
+        below = level.alias("w").join(child, on).select("c.book_id", "c.node_id", "c.label", F.lit(depth).cast("long").alias("depth"), F.concat("w.breadcrumb", F.lit(" > "), "c.label").alias("breadcrumb"))
+        level = _cut(below)
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
 
 
 def code_blocks(sections: DataFrame) -> DataFrame:

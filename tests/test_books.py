@@ -74,6 +74,17 @@ def test_readers(spark):
         R.unzip(b"PK\x03\x04nope")
 
 
+def test_toc_of_more_nodes_than_the_row_limit_of_recursion(spark):
+    nodes = [(b, i, i - 1 if i else None, 0, f"n{i}") for b in range(20) for i in range(5)] + [(99, i, i - 1 if i else None, 0, "x") for i in range(40)]
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "30")
+    try:
+        rows = B.toc_flatten(spark.createDataFrame(nodes, "book_id long, node_id long, parent_id long, ord int, label string")).collect()
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert sorted((r.book_id, r.node_id, r.depth) for r in rows) == [(b, i, i) for b in range(20) for i in range(5)] + [(99, i, i) for i in range(33)]
+    assert {r.breadcrumb for r in rows if (r.book_id, r.node_id) == (3, 2)} == {"n0 > n1 > n2"}
+
+
 def test_queries_have_columns():
     import __spark_entry__ as entry
 
