@@ -85,6 +85,15 @@ def test_toc_of_more_nodes_than_the_row_limit_of_recursion(spark):
     assert {r.breadcrumb for r in rows if (r.book_id, r.node_id) == (3, 2)} == {"n0 > n1 > n2"}
 
 
+def test_tts_tokens_all_has_every_turn(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    turns = [(1, 0, "user", "one two"), (1, 1, "bot", "three"), (2, 0, "user", None), (2, 1, "bot", "a  b")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = entry.queries()["tts_tokens_all"](spark, str(tmp_path)).collect()
+    assert sorted((r.book_id, r.section_index, r.word, r.start_char) for r in rows) == [(1, 0, "one", 0), (1, 0, "two", 4), (1, 1, "three", 0), (2, 1, "a", 0), (2, 1, "b", 2)]
+
+
 def test_queries_have_columns():
     import __spark_entry__ as entry
 
