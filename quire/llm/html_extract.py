@@ -1,11 +1,8 @@
-"""Main text of web pages by template deduction: tokens that occur alike on the pages of a host are the template, the rest data.
-
-A token is a tag with its path from the root (start and end tags apart), or a whole text with its path. Over the pages of a
-host, tokens with the same occurrence vector (how often on each page) form an equivalence class. A vector is summed up by its
-support and by a commutative hash over (page, count), so classes need no page list: a partial aggregation for each (host, token).
-A class is valid if it occurs on enough pages and its tokens nest: the root class occurs once on every page. Its tokens in page
-order make the template; between neighbours lie the slots, which hold data or other classes (repeated items). Of the slots'
-elements, those that are menus, notices and the like by name, and texts of the root class outside of the article, are left out.
+"""Main text of web pages by fixed lists of element names and of class, id and role words, with template texts of hosts.
+
+The texts (with their paths) that stand exactly once on each page of a host, of three pages or more, are its template. They are left
+out on pages without an article or main element; other pages give the text of these. Elements that are menus, notices and the like by
+name go. No equivalence classes of tokens are formed, nested or ordered, and no slots are taken.
 """
 
 from __future__ import annotations
