@@ -10,15 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a narrow side (ids or 64-bit keys) is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Rows up to which a narrow side (ids or 64-bit keys) is broadcast, about 20 MB; beyond it the join shuffles.
+BROADCAST_ROWS = 400_000
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """Use the cluster's shared folder from spark.checkpoint.dir; a folder of our own only in local mode, where that is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quire-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -58,10 +61,38 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return nodes.unionByName(nodes.select(F.col("root").alias("id"), "root").distinct())
 
 
-def add_columns(docs: DataFrame, text: Column) -> DataFrame:
-    """documents with another text; n_chars, where there is such a column, follows the text."""
-    out = docs.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+def packed(docs: DataFrame, *extra: Column) -> DataFrame:
+    """docs as one struct column "row", with further columns: no name of docs can clash with these."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"), *extra)
+
+
+def own(name: str) -> Column:
+    """A column of docs in packed(docs)."""
+    return F.col(f"row.`{name}`")
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, text: Column | None = None, made: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of docs again, with another text (n_chars, where there is such a column, follows it), then the made columns.
+
+    A made column whose name docs has is named name_1, name_2 and so on: the first that is free.
+    """
+    out = []
+    for c in docs.columns:
+        value = own(c)
+        if text is not None and c == "text":
+            value = text
+        elif text is not None and c == "n_chars":
+            value = F.length(text).cast(docs.schema[c].dataType)
+        out.append(value.alias(c))
+    taken = {c.lower() for c in docs.columns}
+    for name, value in (made or {}).items():
+        k, free = 0, name
+        while free.lower() in taken:
+            k += 1
+            free = f"{name}_{k}"
+        taken.add(free.lower())
+        out.append(value.alias(free))
+    return rows.select(*out)
 
 
 #: Of the hashes below; any fixed odd numbers and seed do.

@@ -1,20 +1,24 @@
 """Near-duplicate lines by deletion neighbourhoods, in SQL expressions only.
 
-Two lines are alike if their words (what single blanks part) differ by at most one edit: a word put in, left out or replaced. A
-line's variants are the line itself and the line without one of its words, emitted as hashed keys:
+Two lines are alike if they are equal, or if both have LEAST_WORDS words or more and differ by one edit: a word (what single blanks
+part) put in, left out or replaced, none of the words concerned having more than a SHARE-th of the characters of all the others. So
+the bound in characters is in proportion to the line's length, and short lines match equal ones only. A line's variants are the line
+itself and the line without one of its (short enough) words, emitted as hashed keys:
 
     replaced: hash(sums over j of hash(word j, j) less that of place i, i, number of words)
     whole:    hash(sums over j of hash(word j, word j + 1), number of words), the ends counting as words
     dropped:  the key that the line without word i would have: two neighbour hashes go from the sums, that of the new neighbours comes
 
-Lines that share a key "replaced" are alike all together, so holding each against the key's earliest line is enough. A "whole" key
-meets "dropped" keys of lines with a word more: the shorter line is held against the earliest of these, these against the shorter
-one. Keys are reduced to their earliest lines before a shuffle, however many lines share them. Candidates are verified on their words.
+The bound looks at the words left over, which are the same for all lines of a key. So lines that share a key "replaced" are alike all
+together, and holding each against the key's earliest line is enough. A "whole" key meets "dropped" keys of lines with a word more: the
+shorter line is held against the earliest of these, these against the shorter one. Keys are reduced to their earliest lines before a
+shuffle, however many lines share them. Candidates are verified on their words.
 
-Lines are first made distinct. Then a lossless test leaves most out: an edit lies either behind the first or before the
-last four words, so a line of nine or more words whose first four and last four words no other distinct line has is alike to
-none. Lines of fewer than `least_words` words match equal ones only: a single edit could be most of them, and any two lines of
-one word are an edit apart. If only its last four are its own, the edit lies in them, and only variants of these words are emitted; so with the first. A line's place is one number, doc_id * 2**31 + line_no: its name and its rank.
+Lines are first made distinct. Then a lossless test leaves most out: let h be the largest power of two that is half of the number of
+words at most. One edit leaves the first h words or the last h words as they are; a line that shares neither with any other distinct line
+is alike to none. (A number of words that is a power of two is tested with h / 2 also, as a line with a word less has that h.)
+
+A line's place is one number made of doc_id, a hash of the whole text and line_no: its name and its rank.
 """
 
 from __future__ import annotations
@@ -25,22 +29,23 @@ from pyspark.sql import functions as F
 from quire.llm import common as C
 from quire.llm.quality import _BLANKS
 
-#: Words, blank ones not counted, from which on a line is held against others that are not equal: one edit is then an eighth of it at most.
-LEAST_WORDS = 8
-_END, _LOW = 4, (1 << 32) - 1
-_ALL, _FIRST, _LAST = 0, 1, 2
+#: Words, blank ones not counted, from which on a line is held against others that are not equal (4 at least). An edited word has this share of the others' characters at most.
+LEAST_WORDS, SHARE = 8, 8
+_LOW = (1 << 32) - 1
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no, line) of each \\n-split line with a word."""
-    split = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return split.where(F.btrim("line", F.lit(_BLANKS)) != "")
+def document_place(doc_id: Column, text: Column) -> Column:
+    """The place of a document: doc_id first (null before all others), then a hash of the text; rows equal in both have one place."""
+    of_null = F.lit(-(1 << 63)).cast("decimal(20,0)") - 1 - F.xxhash64(F.lit(5), text).bitwiseAND(F.lit((1 << 63) - 1)).cast("decimal(20,0)")
+    order = F.coalesce(doc_id.cast("decimal(20,0)"), of_null.cast("decimal(20,0)"))
+    return (order * F.lit(1 << 30).cast("decimal(10,0)") + F.xxhash64(text).bitwiseAND(F.lit((1 << 30) - 1)).cast("decimal(10,0)")).cast("decimal(30,0)")
 
 
-def _place(doc_id: Column, line_no: Column) -> Column:
-    """A null doc_id comes before all others."""
-    order = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)"))
-    return (order * F.lit(1 << 31).cast("decimal(10,0)") + line_no.cast("decimal(10,0)")).cast("decimal(32,0)")
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(document, line_no, o, line) of each \\n-split line with a word; document and o are places."""
+    split = docs.select(document_place(F.col("doc_id"), F.col("text")).alias("document"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    place = (F.col("document") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no").cast("decimal(10,0)")).cast("decimal(38,0)")
+    return split.where(F.btrim("line", F.lit(_BLANKS)) != "").select("document", "line_no", place.alias("o"), "line")
 
 
 def _sums(hashes: Column) -> tuple[Column, Column]:
@@ -58,7 +63,7 @@ def _lo(x: Column) -> Column:
 
 
 def one_edit(a: Column, b: Column) -> Column:
-    """Whether two arrays of words differ by at most one word put in, left out or replaced: common ends cover all but one."""
+    """Whether two arrays of words differ by at most one word put in, left out or replaced, each word concerned being short enough."""
     n, m = F.size(a), F.size(b)
     short, long = F.least(n, m), F.greatest(n, m)
 
@@ -66,88 +71,84 @@ def one_edit(a: Column, b: Column) -> Column:
         differs = F.array_position(F.zip_with(x, y, lambda p, q: F.when(p.eqNullSafe(q), F.lit(0)).otherwise(F.lit(1))), 1)
         return F.when(differs == 0, long.cast("long")).otherwise(differs - 1)
 
-    return (long - short <= 1) & (same(a, b) + same(F.reverse(a), F.reverse(b)) >= long - 1)
+    def fits(x: Column) -> Column:
+        own = F.coalesce(F.length(F.get(x, same(a, b).cast("int"))), F.lit(0))
+        return SHARE * own <= F.length(F.array_join(x, "")) - own
+
+    return (long - short <= 1) & (same(a, b) + same(F.reverse(a), F.reverse(b)) >= long - 1) & ((n < m) | fits(a)) & ((m < n) | fits(b))
 
 
 def _variants(lines: DataFrame) -> DataFrame:
-    """(key, o, kind) of the variants of lines (o, w, side): kind 0 whole, 1 dropped, 2 replaced. side: all words, the first or the last ones."""
+    """(key, o, kind) of the variants of lines (o, w): kind 0 whole, 1 dropped, 2 replaced."""
     n = F.size("w")
     edge = F.array(F.lit("\n"))  # no word
-    a = lines.select("o", "side", n.alias("n"), F.concat(edge, F.col("w"), edge).alias("e"), F.transform("w", lambda x, i: F.xxhash64(x, i)).alias("hp"))
+    a = lines.select("o", n.alias("n"), F.length(F.array_join("w", "")).alias("total"), F.concat(edge, F.col("w"), edge).alias("e"), F.transform("w", lambda x, i: F.struct(F.xxhash64(x, i).alias("hp"), F.length(x).alias("own"))).alias("x"))
     pair = lambda x, y: F.xxhash64(x, y)
     part = lambda i, less: F.slice("e", F.lit(i), F.size("e") - less)
-    a = a.select("o", "side", "n", "hp", F.zip_with(part(1, 1), part(2, 1), pair).alias("hl"), F.zip_with(part(1, 2), part(3, 2), pair).alias("new"))
+    a = a.select("o", "n", "total", F.col("x.hp").alias("hp"), F.col("x.own").alias("own"), F.zip_with(part(1, 1), part(2, 1), pair).alias("hl"), F.zip_with(part(1, 2), part(3, 2), pair).alias("new"))
     a = a.select("*", *(x.alias(f"p{i}") for i, x in enumerate(_sums(F.col("hp")))), *(x.alias(f"s{i}") for i, x in enumerate(_sums(F.col("hl")))))
-    many = F.when(F.col("side") == _ALL, F.col("n")).otherwise(F.lit(_END))
-    a = a.withColumn("many", many).withColumn("at", F.when(F.col("side") == _LAST, F.col("n") - _END).otherwise(0))
-    cut = lambda c, i: F.slice(c, F.col("at") + i, F.col("many"))
-    one = F.arrays_zip(cut("hp", 1).alias("hp"), cut("hl", 1).alias("l"), cut("hl", 2).alias("r"), cut("new", 1).alias("new"))
-    a = a.select("o", "n", "p0", "p1", "s0", "s1", "at", F.posexplode(one).alias("j", "z")).withColumn("i", F.col("at") + F.col("j"))
+    one = F.arrays_zip("hp", "own", F.slice("hl", F.lit(1), F.col("n")).alias("l"), F.slice("hl", F.lit(2), F.col("n")).alias("r"), "new")
+    a = a.select("o", "n", "total", "p0", "p1", "s0", "s1", F.posexplode(one).alias("i", "z"))
     less = [F.col(f"s{i}") - f(F.col("z.l")) - f(F.col("z.r")) + f(F.col("z.new")) for i, f in enumerate((_hi, _lo))]
     keys = [F.xxhash64("s0", "s1", "n"), F.xxhash64(*less, F.col("n") - 1), F.xxhash64(F.col("p0") - _hi(F.col("z.hp")), F.col("p1") - _lo(F.col("z.hp")), "i", "n")]
-    made = [F.struct(k.alias("key"), F.lit(kind).alias("kind")) for kind, k in enumerate(keys)]
-    return a.select("o", F.inline(F.when(F.col("j") == 0, F.array(*made)).otherwise(F.array(*made[1:]))))
+    fits = SHARE * F.col("z.own") <= F.col("total") - F.col("z.own")
+    made = [F.when(test, F.struct(k.alias("key"), F.lit(kind).alias("kind"))) for (kind, k), test in zip(enumerate(keys), (F.col("i") == 0, fits, fits))]
+    return a.select("o", F.inline(F.filter(F.array(*made), lambda x: x.isNotNull())))
+
 
+def _half(line: Column, h: Column) -> list[Column]:
+    """Hashes of the first h and of the last h words."""
+    return [F.xxhash64(F.lit(side), h, F.call_function("substring_index", line, F.lit(" "), h if side == 0 else -h)) for side in (0, 1)]
 
-def duplicates(docs: DataFrame, least_words: int = 1) -> DataFrame:
-    """(doc_id, line_no) of the lines to leave out: those with an alike line earlier in the order (doc_id, line_no).
 
-    Equal lines are alike; so are lines one word apart, if both have least_words words that are not blank. A line is measured against all earlier lines, whether or not they
-    stay. Rows that share a doc_id (null included, which comes first) share its places: equal lines at one place all stay, and of different
-    ones at a place one stands for it in the near matching.
+def duplicates(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(document, line_no) of the lines to leave out: those with an alike line at an earlier place.
+
+    A line is measured against all earlier lines, whether or not they stay. Documents are ordered by doc_id (null first), those of
+    one doc_id by a hash of their text. Rows equal in doc_id and text share their places, so what the first keeps the others keep.
     """
+    least_words = max(least_words, 4)
     line = lines_of(docs)
     n = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    ends = F.xxhash64(F.substring_index("line", " ", _END)).alias("head"), F.xxhash64(F.substring_index("line", " ", -_END)).alias("tail")
-    keyed = line.select("doc_id", "line_no", _place(F.col("doc_id"), F.col("line_no")).alias("o"), F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), n.alias("n"), *ends)
-    distinct = C.cut(keyed.groupBy("k1", "k2").agg(F.min("o").alias("o"), F.max("o").alias("last"), F.max("n").alias("n"), F.max("head").alias("head"), F.max("tail").alias("tail")))
-    # an end that several lines share: kept as narrow rows, with a flag
-    shared = lambda c: distinct.where(f"n >= {max(_END, least_words)}").groupBy(c).agg(F.count("*").alias("c")).where("c > 1").select(c, F.lit(True).alias(f"{c}_shared"))
-    tested = distinct.join(shared("head"), "head", "left").join(shared("tail"), "tail", "left")
-    few = F.col("n") < 2 * _END + 1
-    side = F.when(few, _ALL).when(F.col("tail_shared").isNull(), _LAST).when(F.col("head_shared").isNull(), _FIRST).otherwise(_ALL)
-    suspects = C.cut(tested.where(F.col("n") >= least_words).where(few | F.col("head_shared") | F.col("tail_shared")).select("o", side.alias("side")))
+    h = F.expr("shiftleft(1, length(bin(n)) - 2)")
+    keyed = line.select("document", "line_no", "o", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2"), "line", n.alias("n")).withColumn("h", F.when(F.col("n") >= least_words, h))
+    twice = F.when((F.col("n") == 2 * F.col("h")) & (F.col("n") > least_words), F.expr("h div 2").cast("int"))
+    halves = [F.when(x.isNotNull(), y).alias(f"e{k}{i}") for k, x in enumerate((F.col("h"), twice)) for i, y in enumerate(_half(F.col("line"), x))]
+    distinct = C.cut(keyed.select("k1", "k2", "o", *halves).groupBy("k1", "k2").agg(F.min("o").alias("o"), F.max("o").alias("last"), *(F.max(c).alias(c) for c in ("e00", "e01", "e10", "e11"))))
+    ends = distinct.select("o", F.explode(F.array_compact(F.array("e00", "e01", "e10", "e11"))).alias("e"))
+    shared = C.cut(ends.groupBy("e").agg(F.count("*").alias("c")).where("c > 1").select("e"))
+    suspects = C.cut(ends.join(C.small_side(shared), "e", "left_semi").select("o").distinct())
     words = F.split("line", " ", -1)
-    at = line.select(_place(F.col("doc_id"), F.col("line_no")).alias("o"), "line").join(C.small_side(suspects), "o")
-    at = at.where(F.size(F.filter(words, lambda w: F.btrim(w, F.lit(_BLANKS)) != "")) >= least_words) if least_words > 1 else at
-    some = C.cut(at.groupBy("o").agg(F.min("line").alias("line"), F.lit(_ALL).alias("side")) if _repeats(docs) else at)
-    lines = some.select("o", "side", words.alias("w"))
+    at = line.join(C.small_side(suspects), "o").where(F.size(F.filter(words, lambda w: F.btrim(w, F.lit(_BLANKS)) != "")) >= least_words)
+    lines = C.cut(at.select("o", words.alias("w")))
     variants = _variants(lines)
     low = lambda test: F.min(F.when(test, F.col("o")))
-    keys = variants.groupBy("key").agg(F.count("*").alias("c"), low(F.col("kind") == 0).alias("whole"), low(F.col("kind") != 0).alias("other"))
-    keys = C.cut(keys.where("c > 1").select("key", "whole", "other"))
+    keys = variants.groupBy("key").agg(F.min("o").alias("lo"), F.max("o").alias("hi"), low(F.col("kind") == 0).alias("whole"), low(F.col("kind") != 0).alias("other"))
+    keys = C.cut(keys.where("lo < hi").select("key", "whole", "other"))
     met = variants.join(C.small_side(keys), "key").select("o", F.when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("other")).alias("p"))
     pairs = C.cut(met.where("p < o").distinct())
     text = lambda x, w: lines.select(F.col("o").alias(x), F.col("w").alias(w))
     both = pairs.join(text("o", "x"), "o").join(text("p", "y"), "p")
-    near = C.cut(both.where(one_edit(F.col("x"), F.col("y"))).select("o").distinct().withColumn("near", F.lit(True)))
+    near = C.cut(both.where(one_edit(F.col("x"), F.col("y"))).select("o").distinct()).withColumn("near", F.lit(True))
     # only texts with several places, or with an earlier alike line, lose any
-    lose = distinct.join(near, "o", "left").withColumn("near", F.when(F.col("n") >= least_words, F.col("near"))).where("near or o != last").select("k1", "k2", F.when(F.col("near").isNull(), F.col("o")).alias("stays"))
-    hit = keyed.select("doc_id", "line_no", "o", "k1", "k2").join(lose, ["k1", "k2"])
-    return hit.where("stays is null or stays != o").select("doc_id", "line_no")
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether several rows share a doc_id, so that several lines may share a place."""
-    return not docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
-
-
-def without_lines(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the lines gone(doc_id, line_no); adds n_lines (with a word, before) and n_removed. Lines without a word stay; null text stays null."""
-    gone = C.cut(gone.distinct())
-    drop = gone.groupBy("doc_id").agg(F.collect_set("line_no").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    if gone.limit(C.BROADCAST_ROWS + 1).count() <= C.BROADCAST_ROWS:
-        drop = F.broadcast(drop)
-    both = docs.join(drop, docs.doc_id.eqNullSafe(drop._id), "left").withColumn("_lines", F.split("text", "\n", -1))
-    lines = F.filter("_lines", lambda x, i: ~F.array_contains(F.col("_gone"), i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    count = F.when(F.col("_lines").isNull(), 0).otherwise(F.size(F.filter("_lines", lambda x: F.btrim(x, F.lit(_BLANKS)) != "")))
-    both = both.withColumn("_n", count).withColumn("_r", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")))
-    out = C.add_columns(both, text)
-    return out.select(*docs.columns, F.col("_n").cast("long").alias("n_lines"), F.col("_r").cast("long").alias("n_removed"))
-
-
-def dedup_lines(docs: DataFrame, least_words: int = 1) -> DataFrame:
-    """docs with each line kept at its earliest place only; columns n_lines and n_removed follow (replacing any of that name)."""
-    docs = docs.drop("n_lines", "n_removed")
-    return without_lines(docs, duplicates(docs, least_words))
+    lose = distinct.join(C.small_side(near), "o", "left").where("near or o != last").select("k1", "k2", F.when(F.col("near").isNull(), F.col("o")).alias("stays"))
+    hit = keyed.select("document", "line_no", "o", "k1", "k2").join(lose, ["k1", "k2"])
+    return hit.where("stays is null or stays != o").select("document", "line_no")
+
+
+def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, counts: bool = True) -> DataFrame:
+    """docs with each line kept at its earliest place only (see duplicates()); n_chars, if there, follows the text.
+
+    With counts, n_lines (lines with a word, before) and n_removed follow, named n_lines_1 and so on where docs has such columns. Lines
+    without a word stay. Null text stays null with counts of 0, an empty text stays empty; a document may lose all its lines and then has
+    an empty text. An empty table gives no rows; repeated rows each stay and get the same text.
+    """
+    gone = C.cut(duplicates(docs, least_words).distinct())
+    by_document = gone.groupBy("document").agg(F.collect_set("line_no").alias("gone"))
+    by_document = F.broadcast(by_document) if gone.limit(C.BROADCAST_ROWS + 1).count() <= C.BROADCAST_ROWS else by_document
+    both = C.packed(docs, document_place(F.col("doc_id"), F.col("text")).alias("document"), F.split("text", "\n", -1).alias("lines")).join(by_document, "document", "left")
+    left = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
+    count = F.when(F.col("lines").isNull(), 0).otherwise(F.size(F.filter("lines", lambda x: F.btrim(x, F.lit(_BLANKS)) != "")))
+    lost = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
+    text = F.when(F.col("gone").isNull(), C.own("text")).otherwise(left)
+    return C.unpacked(both, docs, text, {"n_lines": count.cast("long"), "n_removed": lost.cast("long")} if counts else {})

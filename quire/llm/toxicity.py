@@ -11,29 +11,32 @@ of each clean text likewise (multiple-instance learning).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quire.llm import common as C
 
-#: Sizes of n-grams in bytes, hash buckets, dimensions, labelled rows of each class at most, words of a window.
-SIZES, BUCKETS, DIMENSIONS, MOST_ROWS, WINDOW = (3, 4, 5), 1 << 18, 4, 2000, 24
+#: Sizes of n-grams in bytes, hash buckets, dimensions, words of a window.
+SIZES, BUCKETS, DIMENSIONS, WINDOW = (3, 4, 5), 1 << 18, 4, 24
+#: The sample that is learnt from: labelled rows of each class at most, bytes of one text at most, bytes of all of them at most.
+MOST_ROWS, LONGEST, MOST_BYTES = 2000, 1 << 16, 1 << 24
 _SCALE = 8.0
 
 
 @dataclass(frozen=True)
 class Features:
-    """Of a batch of texts: n-gram buckets in text order, words' ends in them, texts' ends in words; whether a word is new in its window."""
+    """Of a batch of texts: n-gram buckets in text order, words' ends in them, texts' ends in words; where its text last had a word, or -1."""
 
     grams: np.ndarray
     word_ends: np.ndarray
     text_ends: np.ndarray
-    fresh: np.ndarray
+    before: np.ndarray
 
 
 def features(texts: list[str]) -> Features:
@@ -48,11 +51,11 @@ def features(texts: list[str]) -> Features:
     # a word said again within a window counts once: its repetition is no evidence
     word_hash = (h[stops] - h[starts]) * down[starts]
     by_word = np.argsort(word_hash, kind="stable")
-    fresh = np.ones(len(starts), np.float32)
+    before = np.full(len(starts), -1)
     text_of = np.searchsorted(ends, starts, side="right")[by_word]
-    again = (word_hash[by_word][1:] == word_hash[by_word][:-1]) & (np.diff(by_word) < WINDOW) & (text_of[1:] == text_of[:-1])
-    fresh[by_word[1:][again]] = 0
-    grams, owner, at = [], [], []
+    again = (word_hash[by_word][1:] == word_hash[by_word][:-1]) & (text_of[1:] == text_of[:-1])
+    before[by_word[1:][again]] = by_word[:-1][again]
+    grams, owner = [], []
     for n in SIZES:
         # the n-grams of each word begin at its left mark and after
         count = np.maximum(length - n + 1, 0) if n > SIZES[0] else np.maximum(length - n + 1, 1)
@@ -65,7 +68,7 @@ def features(texts: list[str]) -> Features:
     owner_all = np.concatenate(owner) if owner else np.zeros(0, int)
     order = np.argsort(owner_all, kind="stable")
     grams_all = np.concatenate(grams)[order]
-    return Features(grams_all, np.cumsum(np.bincount(owner_all, minlength=len(starts))), np.searchsorted(starts, ends), fresh)
+    return Features(grams_all, np.cumsum(np.bincount(owner_all, minlength=len(starts))), np.searchsorted(starts, ends), before)
 
 
 def _means(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -84,11 +87,11 @@ class Model:
     empty: float = 0.0
 
     def word_odds(self, f: Features) -> np.ndarray:
-        return _means(self.gram_odds[f.grams], f.word_ends) * f.fresh if len(f.word_ends) else np.zeros(0)
+        return _means(self.gram_odds[f.grams], f.word_ends) if len(f.word_ends) else np.zeros(0)
 
     def best_windows(self, f: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text the log-odds of its highest window, and that window's first and last word."""
-        total = np.concatenate(([0.0], np.cumsum(self.word_odds(f))))
+        """Of each text the log-odds of its highest window (the first of equal ones), and that window's first and last word."""
+        word = self.word_odds(f)
         begins = np.concatenate(([0], f.text_ends[:-1])).astype(np.int64)
         ends = f.text_ends.astype(np.int64)
         step = self.window // 2
@@ -96,7 +99,11 @@ class Model:
         text = np.repeat(np.arange(len(ends)), count)
         a = begins[text] + (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)) * step
         b = np.minimum(a + self.window, ends[text])
-        odds = (total[b] - total[a]) / np.maximum(b - a, self.window // 2)
+        odds = np.zeros(len(a))
+        if len(word):
+            at = a[:, None] + np.arange(self.window)
+            inside = np.minimum(at, len(word) - 1)
+            odds = np.where((at < b[:, None]) & (f.before[inside] < a[:, None]), word[inside], 0).sum(1) / np.maximum(b - a, self.window // 2)
         order = np.lexsort((-odds, text))
         first = order[np.concatenate(([True], text[order][1:] != text[order][:-1]))] if len(order) else order
         return odds[first] * _SCALE + self.bias, a[first], b[first]
@@ -115,7 +122,7 @@ def _bags(f: Features, a: np.ndarray, b: np.ndarray, least: int) -> list[tuple[n
     out = []
     for i, j in zip(a, b):
         lo, hi = (begins[i], f.word_ends[j - 1]) if j > i else (0, 0)
-        w = np.repeat(f.fresh[i:j] / per_word[i:j], per_word[i:j]) * (_SCALE / max(j - i, least))
+        w = np.repeat((f.before[i:j] < i) / per_word[i:j], per_word[i:j]) * (_SCALE / max(j - i, least))
         u, inverse = np.unique(f.grams[lo:hi], return_inverse=True)
         out.append((u, np.bincount(inverse, w, len(u)).astype(np.float32)))
     return out
@@ -177,24 +184,40 @@ def learnable(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4 != 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, may_learn: Column | None = None) -> Model:
-    """A model from labelled documents, at most most_rows of each class (those with the lowest hashes of doc_id).
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, may_learn: Column | None = None, longest: int = LONGEST, most_bytes: int = MOST_BYTES) -> Model:
+    """A model from a bounded sample of labelled documents, trained in one task of an executor; the driver gets the model's table only.
 
-    Rows without a label, a doc_id or a text are not learnt from. Repeated labels of an id count once, the larger one.
+    At most most_rows of each class (those with the lowest hashes of doc_id), no text of more than `longest` bytes, and of these as many,
+    in the order of the hashes, as fit in most_bytes; the model learns from whole texts. Rows without a label, a doc_id or a text are not
+    learnt from. Repeated labels of an id count once, the larger one; rows that repeat a doc_id are texts each, within the bounds. With
+    no rows, or those of one class only, every text with a word has the same score: the share of toxic labels, smoothed.
     """
     own = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.where(learnable(F.col("doc_id")) if may_learn is None else may_learn)
     by_hash = F.xxhash64("doc_id")
     pick = [own.where(f"toxic = {k}").orderBy(by_hash, "doc_id").limit(most_rows) for k in (0, 1)]
     chosen = C.cut(pick[0].unionByName(pick[1]))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
-    rows = sorted(rows.collect())  # at most 2 * most_rows, unless ids repeat
-    share = own.agg(F.avg("toxic")).first()[0] or 0.0
-    return replace(train([r.text for r in rows], [r.toxic for r in rows]), empty=float(share))
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) of each row of docs(doc_id, text); null text counts as empty."""
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= longest).join(F.broadcast(chosen), "doc_id")
+    rows = rows.select(by_hash.alias("h"), "doc_id", "text", "toxic").orderBy("h", "doc_id", "text").limit(2 * most_rows)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic, total = [], [], 0
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total += len(text.encode())
+                if total <= most_bytes:
+                    texts.append(text)
+                    toxic.append(label)
+        model = train(texts, toxic)
+        yield pa.RecordBatch.from_arrays([pa.array([model.gram_odds.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], ["odds", "bias"])
+
+    found = rows.select("text", "toxic").mapInArrow(learn, "odds binary, bias double").collect()  # one row of 4 * BUCKETS bytes
+    model = Model(np.frombuffer(found[0].odds, "<f4"), found[0].bias) if found else train([], [])
+    return replace(model, empty=float(own.agg(F.avg("toxic")).first()[0] or 0.0))
+
+
+def _judged(docs: DataFrame, model: Model, schema: str | StructType, place: int, out: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> DataFrame:
+    """docs in batches of bounded size, each with the scores of its texts (column number place)."""
     shared = docs.sparkSession.sparkContext.broadcast((model.gram_odds.astype(np.float32), model.bias, model.window, model.empty))  # fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,29 +225,28 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
+                texts = [t or "" for t in batch.column(place).to_pylist()]
                 found = np.zeros(len(texts))
                 for lo, hi in C.slices([len(t) for t in texts], 1 << 19):
                     found[lo:hi] = own.scores(texts[lo:hi])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"])
+                yield out(batch, found)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, schema)
 
 
-def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs that score below the threshold, all columns. Rows are judged by their own text, whatever their id."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.gram_odds.astype(np.float32), model.bias, model.window, model.empty))
-    place = docs.columns.index("text")
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) of each row of docs(doc_id, text), repeated rows included; other columns, whatever their names, are not read.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                texts = [t or "" for t in batch.column(place).to_pylist()]
-                keep = np.zeros(len(texts), bool)
-                for lo, hi in C.slices([len(t) for t in texts], 1 << 19):
-                    keep[lo:hi] = own.scores(texts[lo:hi]) < threshold
-                yield batch.filter(pa.array(keep))
+    Null text counts as empty; empty and blank texts have the score model.empty. Of a long text every window is scored. A null doc_id
+    is kept. An empty table gives no rows.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _judged(rows, model, "doc_id long, score double", 1, lambda batch, found: pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], ["doc_id", "score"]))
 
-    return docs.mapInArrow(run, docs.schema)
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score below the threshold, all columns; one that scores the threshold itself goes.
+
+    Rows are judged by their own text, whatever their id; texts count as in score(). An empty table gives no rows.
+    """
+    return _judged(docs, model, docs.schema, docs.columns.index("text"), lambda batch, found: batch.filter(pa.array(found < threshold)))

@@ -196,17 +196,9 @@ def test_toxicity_learns_and_carries_over_to_misspellings(spark):
     assert {r.doc_id for r in toxicity.without_toxic(d, model).collect()} == {i for i, s in got.items() if s < 0.3}
 
 
-def test_line_dedup(spark):
-    rng = random.Random(4)
-    words = [f"w{i}" for i in range(12)]
-    lines = [" ".join(rng.choices(words, k=rng.randint(1, 12))) for _ in range(80)]
-    for _ in range(60):  # longer ones with an edit anywhere, so that they share the head, the tail, both or neither
-        w = rng.choice([x.split() for x in lines if x.count(" ") > 7])
-        i = rng.randrange(len(w))
-        w[i : i + rng.randint(0, 1)] = rng.choices(["new", "word"], k=rng.randint(0, 1))
-        lines.append(" ".join(w))
-    rows = ["\n".join(rng.choices(lines, k=5) + ["", " "]) for _ in range(60)] + [None, "", "\n"]
-    seen, want = [], []
+def brute_lines(rows, least=line_dedup.LEAST_WORDS, share=line_dedup.SHARE):
+    """rows of (doc_id, text) in the order of their places; the texts left."""
+    seen, out = [], []
     for t in rows:
         keep = []
         for x in (t or "").split("\n"):
@@ -214,25 +206,61 @@ def test_line_dedup(spark):
             if WORD.search(x):
                 alike = False
                 for v in seen:
-                    n, m = len(v), len(w)
-                    p = next((i for i in range(min(n, m)) if v[i] != w[i]), min(n, m))
-                    s = next((i for i in range(min(n, m) - p) if v[n - 1 - i] != w[m - 1 - i]), min(n, m) - p)
-                    alike |= abs(n - m) <= 1 and p + s >= max(n, m) - 1
+                    if v == w:
+                        alike = True
+                    elif min(sum(bool(WORD.search(y)) for y in u) for u in (v, w)) >= least and abs(len(v) - len(w)) <= 1:
+                        a, b = (v, w) if len(v) >= len(w) else (w, v)
+                        fits = lambda u, i: share * len(u[i]) <= sum(map(len, u)) - len(u[i])
+                        if len(a) > len(b):
+                            alike |= any(a[:i] + a[i + 1 :] == b and fits(a, i) for i in range(len(a)))
+                        else:
+                            differs = [i for i in range(len(a)) if a[i] != b[i]]
+                            alike |= len(differs) == 1 and fits(a, differs[0]) and fits(b, differs[0])
                 seen.append(w)
                 if alike:
                     continue
             keep.append(x)
-        want.append(None if t is None else "\n".join(keep))
-    got = line_dedup.dedup_lines(docs(spark, rows)).orderBy("doc_id").collect()
+        out.append(None if t is None else "\n".join(keep))
+    return out
+
+
+@pytest.mark.parametrize("least", [4, 8])
+def test_line_dedup(spark, least):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(10)] + ["long" * 3, "", "longer" * 5]
+    lines = [" ".join(rng.choices(words, k=rng.randint(1, 40))) for _ in range(80)]
+    for _ in range(160):  # with an edit anywhere, so that they share the first half, the last half, both or neither
+        w = rng.choice(lines).split(" ")
+        i = rng.randrange(len(w))
+        w[i : i + rng.randint(0, 1)] = rng.choices(words, k=rng.randint(0, 1))
+        lines.append(" ".join(w))
+    rows = ["\n".join(rng.choices(lines, k=5) + ["", " "]) for _ in range(90)] + [None, "", "\n", "\n".join(lines[:20]) * 30]
+    want = brute_lines(rows, least)
+    assert sum(len(x or "") for x in want) < sum(len(x or "") for x in brute_lines(rows, 1000))
+    got = line_dedup.dedup_lines(docs(spark, rows), least).orderBy("doc_id").collect()
     assert [r.text for r in got] == want and all(r.n_chars == len(r.text) for r in got if r.text is not None)
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
 
 
 def test_line_dedup_leaves_short_lines_that_are_not_equal(spark):
-    long = "a b c d e f g h"
-    rows = ["Thing.\nDie.\nPation.\none two\none three\none", f"Die.\n{long}\na b c d e f g\n{long} i", f"        x\n        y\n{long.replace('d', 'z')}"]
-    got = [r.text for r in line_dedup.dedup_lines(docs(spark, rows), line_dedup.LEAST_WORDS).orderBy("doc_id").collect()]
-    assert got == [rows[0], f"{long}\na b c d e f g", "        x\n        y"]
+    long = "a b c d e f g h i j"
+    rows = ["Thing.\nDie.\nPation.\none two\none three\none\nHello\nWorld\nYes\nNo\nBest wishes\nBest regards\nTotal 7\nTotal 5", f"Die.\n{long}\na b c d e f g\n{long} k\n{long} kkkkkkkkkk", f"        x\n        y\n{long.replace('d', 'z')}"]
+    got = [r.text for r in line_dedup.dedup_lines(docs(spark, rows)).orderBy("doc_id").collect()]
+    assert got == [rows[0], f"{long}\na b c d e f g\n{long} kkkkkkkkkk", "        x\n        y"]
+
+
+def test_line_dedup_of_repeated_and_null_ids_and_clashing_columns(spark):
+    line = "one two three four five six seven eight nine"
+    rows = [(None, "same\nown a"), (None, "same\nown b"), (1, "same"), (1, f"{line} a\nsame"), (1, f"{line} b"), (2, "twice"), (2, "twice")]
+    table = spark.createDataFrame([(*r, 7, 8, 9, "x") for r in rows], "doc_id long, text string, n_lines int, _gone int, o int, `a.b` string")
+    got = line_dedup.dedup_lines(table)
+    assert got.columns == ["doc_id", "text", "n_lines", "_gone", "o", "a.b", "n_lines_1", "n_removed"]
+    got = got.collect()
+    assert all(tuple(r)[2:6] == (7, 8, 9, "x") for r in got) and len(got) == len(rows)
+    texts = [r.text for r in got]
+    assert sum(t.count("same") for t in texts) == 1 and sum(line in t for t in texts) == 1 and texts.count("twice") == 2
+    assert [r.text.split("\n")[-1] for r in got if r.doc_id is None] == ["own a", "own b"] or [r.text.split("\n")[-1] for r in got if r.doc_id is None] == ["own b", "own a"]
+    assert line_dedup.dedup_lines(table, counts=False).columns == table.columns
 
 
 def test_packing(spark):
