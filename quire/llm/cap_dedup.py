@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 from statistics import NormalDist
 
 import numpy as np
@@ -27,7 +27,7 @@ from quire.llm import common as C
 
 #: Codes, each with a turn of its own; filters of a code that a vector passes on average; vectors that share a filter by chance; rows of a block.
 #: The README has the recall simulated with these.
-CODES, PASSED, CHANCE, BLOCK = 8, 4, 1, 512
+CODES, PASSED, CHANCE, BLOCK = 8, 4, 1, 2048
 
 
 @dataclass(frozen=True)
@@ -57,7 +57,7 @@ class ProductCode:
         low = 0.6 * usual
         for _ in range(12):
             mid = (low + high) / 2
-            low, high = (mid, high) if np.mean([len(f) for f in self._decode(x, mid)]) > self.passed else (low, mid)
+            low, high = (mid, high) if len(self._decode(x, mid)[0]) > self.passed * len(x) else (low, mid)
         return high
 
     @cached_property
@@ -73,37 +73,48 @@ class ProductCode:
     def passed_by(self, vectors: np.ndarray) -> list[np.ndarray]:
         """Of each unit vector the sorted numbers of all filters that it passes."""
         step = max(1, (1 << 20) // self.words)
-        return [f for at in range(0, len(vectors), step) for f in self._decode(vectors[at : at + step], self.height)]
+        out = []
+        for at in range(0, len(vectors), step):
+            part = vectors[at : at + step]
+            v, f = self._decode(part, self.height)
+            order = np.lexsort((f, v))
+            out += np.split(f[order], np.cumsum(np.bincount(v, minlength=len(part)))[:-1])
+        return out
 
-    def _decode(self, vectors: np.ndarray, height: float) -> list[np.ndarray]:
+    def _decode(self, vectors: np.ndarray, height: float) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, filter) of all that reach the height. Of each block only the words that reach it with the best of the other are paired."""
         turn, codes = self.codes
         turned = vectors @ turn
         parts = np.array_split(np.arange(self.dim), self.blocks)
         scores = [turned[:, cols] @ c.T for cols, c in zip(parts, codes)]
-        best = [s.max(axis=1) for s in scores]
-        out = []
-        for v in range(len(vectors)):
-            ids, sums = np.zeros(1, np.int64), np.zeros(1)
-            for b in range(self.blocks):
-                best_rest = sum(float(x[v]) for x in best[b + 1 :])
-                # the words of this block that reach the height with the best of all others, best first
-                s = scores[b][v]
-                some = np.flatnonzero(s >= height - best_rest - sum(float(x[v]) for x in best[:b]) - 1e-9)
-                order = some[np.argsort(-s[some])]
-                ranked = s[order]
-                # of each partial filter the first words of this block that can still reach the height
-                count = np.searchsorted(-ranked, sums + best_rest - height, side="right")
-                k = np.repeat(np.arange(len(ids)), count)
-                j = np.arange(len(k)) - np.repeat(np.cumsum(count) - count, count)
-                ids, sums = ids[k] * self.words + order[j], sums[k] + ranked[j]
-            out.append(np.sort(ids))
-        return out
+        if self.blocks == 1:
+            return np.nonzero(scores[0] >= height)
+        s, t = scores
+        (v, a), (w, b) = (np.nonzero(x >= height - y.max(axis=1, keepdims=True) - 1e-9) for x, y in ((s, t), (t, s)))
+        count = np.bincount(w, minlength=len(vectors))
+        first = np.cumsum(count) - count
+        k = np.repeat(np.arange(len(v)), count[v])
+        j = first[v[k]] + np.arange(len(k)) - np.repeat(np.cumsum(count[v]) - count[v], count[v])
+        hit = s[v[k], a[k]] + t[v[k], b[j]] >= height
+        return v[k][hit], (a[k] * self.words + b[j])[hit]
+
+
+@lru_cache(maxsize=64)
+def product_codes(dim: int, vectors: int, passed: int, n_codes: int) -> tuple[ProductCode, ...]:
+    """A worker makes the codes for vectors of one length once."""
+    return tuple(ProductCode.of(dim, vectors, passed, i) for i in range(n_codes))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in double precision, however large or small their components are."""
+    x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _block_links(x: np.ndarray, ids: np.ndarray, copies: np.ndarray, side: np.ndarray, two: bool, earlier: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, links and roots of the linked vectors of one block. two: only pairs of different sides count. earlier: filters before this one."""
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = unit @ unit.T >= least
+    """Ids, links and roots of the linked unit vectors of one block. two: only pairs of different sides count. earlier: filters before this one."""
+    near = x @ x.T >= least
     np.fill_diagonal(near, False)
     if two:
         near &= side[:, None] != side[None, :]
@@ -126,58 +137,60 @@ def _block_links(x: np.ndarray, ids: np.ndarray, copies: np.ndarray, side: np.nd
 
 
 def link_vectors(vectors: DataFrame, least: float = 0.98, n_codes: int = CODES, passed: int = PASSED, block: int = BLOCK) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of each row of vectors(vec_id, embedding, label).
+    """(vec_id, n_links, component_id, kept) of each row of vectors(vec_id, embedding, label); other columns are not read.
 
-    Vectors of equal, non-null labels (and equal length) link if their cosine is `least` or more. Vectors that are null, empty,
-    zero, or hold null or non-finite components, and rows without a label or vec_id, link with nothing. Rows with one vec_id
-    are vectors each, but one node of the components. An empty table gives no rows.
+    Vectors of equal, non-null labels (and equal length, of which there may be any number) link if their cosine in double precision is
+    `least` or more; components of float or double are taken as they are. Vectors that are null, empty, zero, or hold null or non-finite
+    components, and rows without a label or vec_id, link with nothing. Rows with one vec_id are vectors each with links of their own (a
+    second row counts as another vector), but one node of the components. An empty table gives no rows.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("e"), F.col("label").cast("string").alias("label"))
+    kind = "double" if vectors.schema["embedding"].dataType.elementType.typeName() == "double" else "float"
+    form = {"double": "<f8", "float": "<f4"}[kind]
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("e"), F.col("label").cast("string").alias("label"))
     finite = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     valid = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("e").isNotNull() & (F.size("e") > 0) & finite & F.exists("e", lambda x: x != 0)
     keyed = C.cut(rows.select("vec_id", "label", "e", F.when(F.coalesce(valid, F.lit(False)), F.xxhash64("label", "e")).alias("k1"), F.xxhash64("e", "label").alias("k2")))
+    # equal vectors of a label are a class; k1 is its name
     classes = C.cut(keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("e").alias("e")))
-    sizes = classes.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n")).limit(1001).collect()
-    if len(sizes) > 1000:
-        raise ValueError("vectors of more than 1000 different lengths")
-    codes = {r.dim: [ProductCode.of(r.dim, r.n, passed, i) for i in range(n_codes)] for r in sizes}
+    sizes = classes.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n"))
+    sized = classes.withColumn("dim", F.size("e")).join(sizes, "dim")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                label, e = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-                long = np.array([len(x) for x in e])
-                filters: list = [None] * len(e)
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                label, e, n = batch.column(1).to_pylist(), batch.column(2), batch.column(4).to_numpy()
+                offsets, flat = e.offsets.to_numpy(), e.values.to_numpy()
+                long = np.diff(offsets)
+                filters: list = [None] * len(long)
                 for dim in np.unique(long):
                     at = np.flatnonzero(long == dim)
-                    x = np.array([e[i] for i in at], np.float64)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    own = codes[int(dim)]
+                    x = unit(flat[offsets[at][:, None] + np.arange(dim)])
+                    own = product_codes(int(dim), int(n[at[0]]), passed, n_codes)
                     each = [c.passed_by(x) for c in own]
                     for k, i in enumerate(at):
                         filters[i] = np.concatenate([f[k] + c * own[0].words ** own[0].blocks for c, f in enumerate(each)])
-                v = [np.array(x, "<f4").tobytes() for x in e]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"{d}|{x}" for d, x in zip(long, label)]), batch.column(3), pa.array(v, pa.binary()), pa.array(filters, pa.list_(pa.int64()))], ["rep", "label", "copies", "v", "filters"])
+                v = [flat[a:b].astype(form).tobytes() for a, b in zip(offsets, offsets[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f"{d}|{x}" for d, x in zip(long, label)]), batch.column(3), pa.array(v, pa.binary()), pa.array(filters, pa.list_(pa.int64()))], ["k1", "label", "copies", "v", "filters"])
 
-    decoded = C.cut(classes.select("rep", "label", "e", "copies").mapInArrow(decode, "rep long, label string, copies long, v binary, filters array<long>"))
+    decoded = C.cut(sized.select("k1", "label", "e", "copies", "n").mapInArrow(decode, "k1 long, label string, copies long, v binary, filters array<long>"))
     # buckets by narrow rows first: vectors move only to buckets with two or more, to large ones in blocks
-    passing = decoded.select("rep", "label", F.explode("filters").alias("filter"))
-    sized = passing.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block))
-    joined = passing.join(sized, ["label", "filter"]).withColumn("side", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    passing = decoded.select("k1", "label", F.explode("filters").alias("filter"))
+    full = passing.groupBy("label", "filter").agg(F.count("*").alias("n")).where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block))
+    joined = passing.join(full, ["label", "filter"]).withColumn("side", F.pmod(F.xxhash64("k1"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     spread = joined.withColumn("o", other).withColumn("i", F.least("side", "o")).withColumn("j", F.greatest("side", "o"))
-    spread = spread.select("rep", "label", "filter", "i", "j", "side").join(decoded.select("rep", F.col("label"), "copies", "v", "filters"), ["rep", "label"])
+    spread = spread.select("k1", "label", "filter", "i", "j", "side").join(decoded.select("k1", "copies", "v", "filters"), "k1")
     spread = spread.withColumn("earlier", F.filter("filters", lambda f: f < F.col("filter")))
     keys = ["label", "filter", "i", "j"]
-    spread = spread.select(*keys, "side", "rep", "copies", "v", "earlier").repartition(*keys).sortWithinPartitions(*keys, "rep", "copies")
+    spread = spread.select(*keys, "side", "k1", "copies", "v", "earlier").repartition(*keys).sortWithinPartitions(*keys, "k1", "copies")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in C.groups(batches, len(keys)):
             if group.num_rows < 2:
                 continue
-            side, ids, copies = (group.column(c).to_numpy() for c in ("side", "rep", "copies"))
-            x = np.array([np.frombuffer(v, "<f4") for v in group.column("v").to_pylist()], np.float64)
+            side, ids, copies = (group.column(c).to_numpy() for c in ("side", "k1", "copies"))
+            x = unit(np.array([np.frombuffer(v, form) for v in group.column("v").to_pylist()]))
             earlier = [np.array(f, np.int64) for f in group.column("earlier").to_pylist()]
             two = group.column("i")[0] != group.column("j")[0]
             a, n, root = _block_links(x, ids, copies, side, two, earlier, least)
@@ -185,11 +198,13 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, n_codes: int = CODES,
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(n), pa.array(root)], ["a", "links", "b"])
 
     found = C.cut(spread.mapInArrow(compare, "a long, links long, b long"))
-    links = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    same_id = keyed.where("k1 is not null").join(classes.select("k1", "k2", "rep"), ["k1", "k2"]).select(F.col("vec_id").alias("a"), F.col("rep").alias("b")).where("a != b")
-    doubled = keyed.where("k1 is not null").groupBy("vec_id").count().where("count > 1").select(F.col("vec_id").alias("a"))
-    roots = C.components(found.select("a", "b").unionByName(same_id.join(doubled, "a", "left_semi")))
-    whole = classes.select("k1", "k2", "rep", "copies").join(links, "rep", "left").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    whole = whole.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("root", "rep").alias("c"))
+    links = found.groupBy(F.col("a").alias("k1")).agg(F.sum("links").alias("links"))
+    # rows that share a vec_id join their classes
+    same = keyed.where("k1 is not null").groupBy("vec_id").agg(F.min("k1").alias("b"), F.max("k1").alias("hi")).where("b < hi").select("vec_id", "b")
+    same = keyed.where("k1 is not null").join(same, "vec_id").where("k1 != b").select(F.col("k1").alias("a"), "b")
+    roots = C.cut(C.components(found.select("a", "b").unionByName(same)).withColumnRenamed("id", "k1"))
+    least_id = classes.join(roots, "k1").groupBy("root").agg(F.min("rep").alias("c"))
+    whole = classes.select("k1", "k2", "rep", "copies").join(links, "k1", "left").join(roots.join(least_id, "root").select("k1", "c"), "k1", "left")
+    whole = whole.select("k1", "k2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("c", "rep").alias("c"))
     out = keyed.select("vec_id", "k1", "k2").join(whole, ["k1", "k2"], "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -152,6 +152,14 @@ def slots(made: list[tuple[Counter, int]]) -> dict[int, tuple[np.ndarray, ...]]:
     return out
 
 
+def encode(path: str, text: str, enc: tiktoken.Encoding, special: set[str]) -> list[int]:
+    """Ids of a text. Long runs of blanks are more than the fast encoder's pattern can take; these texts go through our own."""
+    try:
+        return enc.encode(text, allowed_special=special, disallowed_special=())
+    except ValueError:
+        return load(path).encode(text)
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and end_id; only what is longer than capacity is cut."""
 
@@ -161,7 +169,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.array([*enc.encode(text.as_py() or "", allowed_special=special, disallowed_special=()), end_id], "<u4")
+                ids = np.array([*encode(path, text.as_py() or "", enc, special), end_id], "<u4")
                 first = len(ids) % capacity or capacity
                 for k, (a, b) in enumerate(zip([0, *range(first, len(ids), capacity)], range(first, len(ids) + 1, capacity))):
                     for column, x in zip(rows, (doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))):
@@ -174,8 +182,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, rounds: int = ROUNDS, buckets: int = BUCKETS) -> DataFrame:
     """Each piece of docs(doc_id, text) with its place: (doc_id, piece, start, length, ids_crc32, sequence_id, offset).
 
-    Null or empty text is a piece of end_id alone. Rows that share a doc_id, or whose doc_id is null, are packed each. An
-    empty table gives no rows.
+    Null or empty text is a piece of end_id alone; a text of any length is cut into pieces, none is left out. Rows that share a doc_id, or
+    whose doc_id is null, are packed each. Other columns are not read. An empty table gives no rows.
     """
     cut = C.cut(pieces(docs, path, capacity, end_id).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")))
     counts = cut.groupBy("length", "bucket").count().collect()  # at most capacity * buckets rows
@@ -190,7 +198,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
     narrow = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int"
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # all pieces of a bucket are in one partition, so a counter for each (length, bucket) gives ranks
+        # all pieces of a length and bucket are in one partition, so a counter for each (length, bucket) gives ranks
         seen: dict[int, np.ndarray] = {}
         for batch in batches:
             length, bucket = batch.column(3).to_numpy(), batch.column(5).to_numpy()
@@ -209,5 +217,5 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0,
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(seq), pa.array(off)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     # sorted, so that a task that runs again gives each row the same place
-    dealt = cut.selectExpr(*(x.rsplit(" ", 1)[0] for x in narrow.split(", "))).repartition("bucket").sortWithinPartitions("bucket", "length", "doc_id", "piece", "ids_crc32")
+    dealt = cut.selectExpr(*(x.rsplit(" ", 1)[0] for x in narrow.split(", "))).repartition("length", "bucket").sortWithinPartitions("length", "bucket", "doc_id", "piece", "ids_crc32")
     return dealt.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
