@@ -1,8 +1,15 @@
-"""Main text of web pages by fixed lists of element names and of class, id and role words, with template texts of hosts.
-
-The texts (with their paths) that stand exactly once on each page of a host, of three pages or more, are its template. They are left
-out on pages without an article or main element; other pages give the text of these. Elements that are menus, notices and the like by
-name go. No equivalence classes of tokens are formed, nested or ordered, and no slots are taken.
+"""Main text of web pages by template deduction from equivalence classes of tokens.
+
+A page is a sequence of tokens: its block tags and its whole texts, each with the path of elements that it stands in. Over the distinct
+pages of a host a token has an occurrence vector: how often it stands on each page. Tokens of equal vectors are an equivalence class. A
+class of two or more tokens that half of the host's pages have is part of the template if it is valid: on every page its tokens
+come in the same order, period after period, and in the same gaps between the tokens of the root class (the one with the most tokens of those that
+every such page has once). So the classes make a tree: the root class, and in its gaps the classes nested there. What the template
+does not hold are slots; the main text is the text of the slots.
+
+Which slots are menus, forms, adverts and so on the template can't tell where they differ from page to page: elements that HTML names so, and unmistakable class,
+id and role words, are left out. If the page marks its article (article, main or role=main), the slots within it are taken. If a
+template holds more than half of a page's own text, the host's pages are copies of one text, and nothing is taken for template there.
 """
 
 from __future__ import annotations
@@ -10,9 +17,10 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,16 +34,18 @@ BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
     " head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-OUTSIDE = frozenset("aside audio button canvas datalist dialog embed footer form head header iframe input map math menu nav noscript object option script select style svg template textarea title video".split())
-#: Words of class, id or role attributes.
+OUTSIDE = frozenset("aside audio button datalist dialog embed footer form head header iframe input map menu nav noscript option script select style svg template textarea title video".split())
+#: Words that a class, id or role must be, or begin with before a - or _, for its element to be left out: everywhere, and only outside of the article.
 OUTSIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright"
-    " disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination"
-    " popup promo promoted promotion related recommended respond share sharing sidebar signup skip social sponsor sponsored subscribe taboola toolbar widget".split()
+    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus footer gdpr"
+    " masthead menu nav navbar navigation newsletter notice notices pagination popup promo promoted sidebar sponsored subscribe taboola".split()
 )
+OUTER_WORDS = frozenset("alert copyright header login modal notification overlay pager promotion recommended related respond share sharing signup skip social sponsor toolbar widget".split())
+#: Pages that a host needs for a template, and the share of them that a class must have.
+LEAST_PAGES, SHARE = 3, 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]+)", re.I | re.S)
-_WORDS = re.compile(r"[A-Za-z]+")
+_MAIN = re.compile(r"(?:^|\s)role\s*=\s*[\"']?main\b", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 #: Elements that a start tag ends (the optional end tags of HTML).
 _CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -97,13 +107,19 @@ def squeeze(parts: list[str]) -> str:
     return " ".join(entities.unescape("".join(parts)).split())
 
 
-def page_tokens(page: str) -> Counter:
-    """How often the page has each token: tags by path, and whole texts by path."""
-    out, path, text = Counter(), [], []
+def token(text: str, is_text: bool) -> int:
+    """64-bit hash; odd for texts, even for tags."""
+    h = xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+    return (h | 1 if is_text else h & ~1) - (1 << 63)
+
+
+def page_tokens(page: str) -> list[int]:
+    """The page's tokens in order: block tags by path, and whole texts by path."""
+    out, path, text = [], [], []
 
     def close() -> None:
         if text and (t := squeeze(text)):
-            out["/".join(path) + " " + t] += 1
+            out.append(token("/".join(path) + " " + t, True))
         text.clear()
 
     for kind, name, _ in page_events(page):
@@ -116,43 +132,58 @@ def page_tokens(page: str) -> Counter:
                 if name not in VOID:
                     path.append(name)
                 if name in BLOCK:
-                    out["<" + "/".join(path)] += 1
+                    out.append(token("<" + "/".join(path), False))
             elif path:
                 if name in BLOCK:
-                    out[">" + "/".join(path)] += 1
+                    out.append(token(">" + "/".join(path), False))
                 path.pop()
     close()
     return out
 
 
+def signatures(tokens: list[int], class_of: dict[int, int], root: int) -> dict[int, int]:
+    """Of each class on the page a hash of its order and of its gaps in the root class; one that only this page has if it is out of order."""
+    seen: dict[int, list[int]] = {}
+    gaps: dict[int, set[int]] = {}
+    gap = 0
+    for t in tokens:
+        if (c := class_of.get(t)) is not None:
+            seen.setdefault(c, []).append(t)
+            gaps.setdefault(c, set()).add(gap)
+            if c == root:
+                gap = t
+    out = {}
+    for c, own in seen.items():
+        period = list(dict.fromkeys(own))
+        ordered = own == period * (len(own) // len(period))
+        out[c] = token(repr((period, None if c == root else sorted(gaps[c])) if ordered else (tokens, "out of order")), False)
+    return out
+
+
 def outside(name: str, attributes: str, depth_in_main: int) -> bool:
-    """Whether an element is no main text: by its name, or by the words of its class, id and role. A header within the article is its own."""
+    """Whether an element is no main text: by its name, or by a class, id or role. A header within the article is its own."""
     if name in OUTSIDE and not (name == "header" and depth_in_main):
         return True
     if attributes and name not in ("html", "body", "article", "main"):
-        if _HIDDEN.search(attributes):
+        if not depth_in_main and _HIDDEN.search(attributes):
             return True
+        words = OUTSIDE_WORDS if depth_in_main else OUTSIDE_WORDS | OUTER_WORDS
         for m in _NAMES.finditer(attributes):
-            words = {w.lower() for w in _WORDS.findall(m[1])}
-            if words & OUTSIDE_WORDS and not (depth_in_main and words & OUTSIDE_WORDS <= {"header"}):
-                return True
+            for one in m[1].strip("\"'").lower().split():
+                if one in words or re.split("[-_]", one)[0] in words:
+                    return True
     return False
 
 
-def page_text(page: str, template: frozenset[str]) -> list[str]:
-    """The blocks of the slots that are main text.
-
-    template: the tokens of the root class on the page's host. If the page has an article or main element, its slots lie there;
-    otherwise they are all of the body but template texts.
-    """
-    blocks: list[tuple[bool, str]] = []
+def page_text(page: str, template: frozenset[int]) -> list[str]:
+    """The blocks of the slots that are main text. template: the texts (tokens) of the host's valid classes."""
+    blocks: list[tuple[bool, bool, str]] = []
     path, text, skip, main = [], [], 0, 0
     seen_main = False
 
     def close() -> None:
         if text and (t := squeeze(text)):
-            if main or "/".join(path) + " " + t not in template:
-                blocks.append((main > 0, t))
+            blocks.append((main > 0, bool(template) and token("/".join(path) + " " + t, True) in template, t))
         text.clear()
 
     for kind, name, attributes in page_events(page):
@@ -170,7 +201,7 @@ def page_text(page: str, template: frozenset[str]) -> list[str]:
             path.append(name)
             if skip or outside(name, attributes, main):
                 skip += 1
-            elif main or name in ("article", "main") or re.search(r"role\s*=\s*[\"']?main", attributes, re.I):
+            elif main or name in ("article", "main") or _MAIN.search(attributes):
                 main += 1
                 seen_main = True
         elif path:
@@ -180,47 +211,69 @@ def page_text(page: str, template: frozenset[str]) -> list[str]:
                 main -= 1
             path.pop()
     close()
-    return [t for inside, t in blocks if inside or not seen_main]
+    inner = [(held, t) for inside, held, t in blocks if inside or not seen_main]
+    slots = [t for held, t in inner if not held]
+    return slots if 2 * sum(map(len, slots)) >= sum(len(t) for _, t in inner) else [t for _, t in inner]
 
 
-def deduce(pages: DataFrame, least_pages: int = 3) -> DataFrame:
-    """(host, template array<string>): the tokens of each host's root class; hosts with fewer pages have none.
+def _batches(batches: Iterator[pa.RecordBatch], rows_of: Callable[..., Iterator[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, 128):
+            rows = [r for one in zip(*(c.to_pylist() for c in whole.slice(at, 128).columns)) for r in rows_of(*one)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    pages has host, page_hash (long) and html. One row for each (page, distinct token), pre-aggregated before the shuffle.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                rows = [(h, k, t, n) for h, k, p in zip(*(c.to_pylist() for c in batch.columns)) for t, n in page_tokens(p).items()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows) if rows else ([], [], [], []), (pa.string(), pa.int64(), pa.string(), pa.int64()))], ["host", "page", "token", "n"])
+def deduce(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    """(host, template array<long>): the texts of each host's valid classes; hosts with fewer distinct pages, or no valid class, have no row.
 
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    rows = pages.select("host", "page_hash", "html").mapInArrow(run, "host string, page long, token string, n long")
-    # equal (support, vector) within a host: one equivalence class; here the class of <html>, once on each page
-    vectors = rows.groupBy("host", "token").agg(F.count("*").alias("support"), F.max("n").alias("most"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
-    root = vectors.where("most = 1").join(sizes, "host").where("support = pages")
-    return root.where("token not like '<%' and token not like '>%'").groupBy("host").agg(F.collect_set("token").alias("template"))
+    pages has host and html. Shuffled are hashes only, a row for each distinct page and token, reduced before. A host's classes
+    have at most 1 / share times as many tokens as its mean page, however many pages it has.
+    """
+    page = F.xxhash64("html").alias("page")
+    sizes = pages.select("host", page).distinct().groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
+    counted = lambda host, key, html: ((host, key, t, n) for t, n in Counter(page_tokens(html)).items())
+    schema = pa.schema([("host", pa.string()), ("page", pa.int64()), ("token", pa.int64()), ("n", pa.int64())])
+    rows = pages.select("host", page, "html").mapInArrow(lambda b: _batches(b, counted, schema), "host string, page long, token long, n long").distinct()
+    part = F.xxhash64("page", "n")
+    vector = [F.sum(x).alias(c) for c, x in (("v0", F.shiftrightunsigned(part, 32)), ("v1", part.bitwiseAND(F.lit((1 << 32) - 1))))]
+    tokens = rows.groupBy("host", "token").agg(F.count("*").alias("support"), F.max("n").alias("most"), *vector).join(sizes, "host").where(F.col("support") >= share * F.col("pages"))
+    tokens = C.cut(tokens.select("host", "token", "support", "pages", "most", F.xxhash64("support", "v0", "v1").alias("class")))
+    classes = tokens.groupBy("host", "class").agg(F.count("*").alias("size"), F.max("most").alias("most"), F.max(F.col("support") == F.col("pages")).alias("all")).where("size > 1")
+    roots = classes.where("most = 1").groupBy("host").agg(F.max_by("class", F.struct("all", "size", "class")).alias("root"))
+    of_host = tokens.join(classes.select("host", "class"), ["host", "class"]).groupBy("host").agg(F.collect_list("token").alias("tokens"), F.collect_list("class").alias("classes")).join(roots, "host", "left")
+    of_host = C.cut(of_host)
+
+    def signed(host: str, key: int, html: str, tokens: list[int], classes: list[int], root: int | None) -> Iterator[tuple]:
+        return ((host, c, s) for c, s in signatures(page_tokens(html), dict(zip(tokens, classes)), root).items())
+
+    schema2 = pa.schema([("host", pa.string()), ("class", pa.int64()), ("signature", pa.int64())])
+    both = pages.select("host", page, "html").join(C.small_side(of_host, MOST_HOSTS), "host").select("host", "page", "html", "tokens", "classes", "root")
+    found = both.mapInArrow(lambda b: _batches(b, signed, schema2), "host string, class long, signature long")
+    valid = found.groupBy("host", "class").agg(F.min("signature").alias("lo"), F.max("signature").alias("hi")).where("lo = hi").select("host", "class")
+    texts = tokens.where(F.col("token").bitwiseAND(F.lit(1)) == 1).join(valid, ["host", "class"])
+    return texts.groupBy("host").agg(F.collect_set("token").alias("template"))
+
+
+#: Hosts up to which their templates (some hundred hashes each) are broadcast.
+MOST_HOSTS = 10_000
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) as (page_id, url, text, n_chars).
+    """pages(page_id, url, html) as (page_id, url, text, n_chars); other columns are not read.
 
     Null html is an empty page; a page without main text has the empty text; n_chars counts code points. A null url, or one
-    without ://, belongs to the empty host. Rows that repeat are pages each.
+    without ://, belongs to the empty host. Hosts of one or two distinct pages have no template: all their text is in slots. Rows that
+    repeat give a row each, and count once in the template. An empty table gives no rows. Pages of any length are read whole.
     """
     source = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), url_host(F.col("url")).alias("host"))
-    templates = C.cut(deduce(source.withColumn("page_hash", F.xxhash64("page_id", "url"))))
-    both = source.join(C.small_side(templates, 100_000), "host", "left").select("page_id", "url", "html", "template")
+    templates = C.cut(deduce(source))
+    both = source.join(C.small_side(templates, MOST_HOSTS), "host", "left").select("page_id", "url", "html", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                texts = []
-                for page, t in zip(batch.column(2).to_pylist(), batch.column(3)):
-                    texts.append("\n\n".join(page_text(page, frozenset(t.as_py() or ()))))
+                texts = ["\n\n".join(page_text(page, frozenset(t.as_py() or ()))) for page, t in zip(batch.column(2).to_pylist(), batch.column(3))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()

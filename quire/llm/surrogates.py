@@ -49,27 +49,28 @@ STREET = "street st avenue ave road rd lane ln drive boulevard blvd court square
 PLAIN_DRAWS = 8
 _TITLE = r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True)) + r")\.? "
 _NAME = r"\p{Lu}[\p{L}\p{M}'’-]++"
-_GIVEN = r"(?<![\p{L}\p{N}'’-])(?=\p{Lu})(?:" + "|".join(sorted({x for names in (*KNOWN.values(), *GIVEN.values()) for x in names}, key=lambda x: (-len(x), x))) + r") "
+_GIVEN = r"(?=\p{Lu})(?<![\p{L}\p{N}'’-])(?:" + "|".join(sorted({x for names in (*KNOWN.values(), *GIVEN.values()) for x in names}, key=lambda x: (-len(x), x))) + r") "
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\1\d{4})"
+_DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})"
 #: Kinds in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
     "aws_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "hex_secret": r"(?<![A-Za-z0-9])(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])",
+    "hex_secret": r"(?<![A-Za-z0-9])(?=[0-9a-fA-F]{32})(?=[a-fA-F]*[0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,}+(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
-    "birth": r"(?<=born |born on |born: |DOB |DOB: |birth: |geboren am |geb\. |né le |née le |nacido el |nacida el )" + _DATE.replace("([./])", "[./]").replace("\\1", "[./]") + r"(?!\d)",
+    "birth": r"(?=\d)(?<=born |born on |born: |DOB |DOB: |birth: |geboren am |geb\. |né le |née le |nacido el |nacida el )" + _DATE + r"(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?:(?<!\d)\+\d{1,3}[ .-]?|(?<![\d+]))(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .-]\(?\d{1,5}\)?){2,5}(?!\d)|(?<!\d)\+\d{8,15}(?!\d)",
     "card": r"(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d-])",
-    "street": r"(?<![\p{L}\p{N}])\d{1,5}(?: \p{Lu}[\p{L}'’-]+){1,3} (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)(?![\p{L}\p{N}])"
-    r"|(?<![\p{L}\p{N}])\d{1,5} (?:rue|avenue|boulevard|place|chemin)(?: (?:de|du|des|la|le))* \p{Lu}[\p{L}'’-]+|(?<![\p{L}\p{N}])(?:Calle|Avenida|Plaza)(?: (?:de|del|la|los|las))* \p{Lu}[\p{L}'’-]+ \d{1,5}(?!\d)"
-    r"|(?<![\p{L}\p{N}])\p{Lu}\p{Ll}*(?:straße|strasse|weg|platz|allee|gasse) \d{1,5}(?!\d)",
+    "street": r"(?=\d)(?<![\p{L}\p{N}])\d{1,5}(?:(?: \p{Lu}[\p{L}'’-]+){1,3} (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Boulevard|Blvd|Court|Square)(?![\p{L}\p{N}])| (?:rue|avenue|boulevard|place|chemin)(?: (?:de|du|des|la|le))* \p{Lu}[\p{L}'’-]+)",
     "name": _TITLE + _NAME + rf"(?: {_NAME})?",
     "given": _GIVEN + _NAME,
+    "street_before": r"(?<![\p{L}\p{N}])(?:(?:Calle|Avenida|Plaza)(?: (?:de|del|la|los|las))* \p{Lu}[\p{L}'’-]+|(?=\p{Lu}\p{Ll}*(?:straße|strasse|weg|platz|allee|gasse) )\p{Lu}\p{Ll}+) \d{1,5}(?!\d)",
 }
-ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_DIGITS, _LETTERS = ("hex_secret", "ip", "birth", "ssn", "phone", "card", "street"), ("aws_key", "hex_secret", "iban", "name", "given", "street_before")
+#: Cheap tests stand first: most places are within a word, of the others most have no digit, +, ( or capital.
+ALL = "(?:" + PATTERNS["email"] + "|(?=[0-9+(])(?:" + "|".join(PATTERNS[k] for k in _DIGITS) + r")|(?=[\p{Lu}a-fг])(?<![\p{L}\p{N}])(?:" + "|".join(PATTERNS[k] for k in _LETTERS) + "))"
 _LOOSE = "[ .()+-]"
 
 
@@ -81,9 +82,13 @@ def _suspect(text: Column) -> Column:
     return some | text.rlike(_GIVEN)
 
 
+def _is_name(value: Column) -> Column:
+    return value.rlike(f"^(?:{_TITLE}|{_NAME} {_NAME}$)")
+
+
 def _kind(value: Column) -> Column:
     """The first pattern that the whole value fits, its surroundings not being there; "word": a part of a name that stands alone."""
-    out = F.when(value.rlike(f"^(?:{_TITLE})") | value.rlike(f"^{_NAME} {_NAME}$"), "name").when(value.contains("@"), "email").when(value.rlike("^AKIA[0-9A-Z]{16}$"), "aws_key")
+    out = F.when(_is_name(value), "name").when(value.contains("@"), "email").when(value.rlike("^AKIA[0-9A-Z]{16}$"), "aws_key")
     out = out.when(value.rlike("^[0-9a-fA-F]{32,}$") & value.rlike("[a-fA-F]"), "hex_secret").when(value.rlike(f"^{_NAME}$"), "word").when(value.rlike(r"^[A-Z]{2}\d"), "iban")
     out = out.when(value.rlike(rf"^(?:{_OCTET}\.){{3}}{_OCTET}$"), "ip").when(value.rlike(f"^{_DATE}$"), "birth").when(value.rlike(r"\p{L}"), "street")
     return out.when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(value.rlike(f"^(?:{PATTERNS['phone']})$"), "phone").otherwise("card")
@@ -116,14 +121,13 @@ def _name_parts(value: Column) -> tuple[Column, Column, Column, Column]:
     return title, gender, given, F.element_at(names, -1)
 
 
-def _keys(value: Column) -> Column:
+def _keys(value: Column, kind: Column, canon: Column) -> Column:
     """Array of (entity "kind|canonical form", gender) of a value; names have two, words none of their own."""
-    kind = _kind(value)
     _, gender, given, surname = _name_parts(value)
     one = lambda e, g: F.struct(e.alias("entity"), g.alias("gender"))
     none = F.lit(None).cast("string")
     names = F.array_compact(F.array(one(_surname(surname), none), F.when(given != "", one(_given(given), gender))))
-    return F.when(kind == "name", names).when(kind == "word", F.slice(names, 1, 0)).otherwise(F.array(one(F.concat(kind, F.lit("|"), _canon(kind, value)), none)))
+    return F.when(kind == "name", names).when(kind == "word", F.slice(names, 1, 0)).otherwise(F.array(one(F.concat(kind, F.lit("|"), canon), none)))
 
 
 def _draw(kind: Column, canon: Column, key: str, attempt: Column) -> Column:
@@ -205,11 +209,9 @@ def surrogates(entities: DataFrame, key: str, most_attempts: int = 40) -> DataFr
     raise RuntimeError(f"{missing} entities are without a surrogate after {most_attempts} draws")
 
 
-def _lay_out(value: Column, found: Column) -> Column:
-    """value with the characters of its surrogate, keeping separators and capitals; null for a word that is no name of the text."""
-    kind = _kind(value)
-    canon = _canon(kind, value)
-    mapped = F.element_at(found, F.concat(kind, F.lit("|"), canon))
+def _lay_out(x: Column, found: Column) -> Column:
+    """The surrogate of a hit (v, kind, canon, mapped), laid out as v is: with its separators and capitals; null for a word that is no name of the text."""
+    value, kind, canon, mapped = x["v"], x["kind"], x["canon"], x["mapped"]
     title, _, given, surname = _name_parts(value)
     name = F.concat(title, F.when(given != "", F.concat(F.element_at(found, _given(given)), F.lit(" "))).otherwise(""), F.element_at(found, _surname(surname)))
     word = F.coalesce(F.element_at(found, _surname(value)), F.element_at(found, _given(value)))
@@ -229,7 +231,7 @@ def _lay_out(value: Column, found: Column) -> Column:
 
 def _names(hits: Column) -> Column:
     """The words of the names among the hits, longest first."""
-    names = F.transform(F.filter(hits, lambda v: _kind(v) == "name"), lambda v: F.split(F.regexp_replace(v, f"^{_TITLE}", ""), " "))
+    names = F.transform(F.filter(hits, _is_name), lambda v: F.split(F.regexp_replace(v, f"^{_TITLE}", ""), " "))
     words = F.filter(F.array_distinct(F.flatten(names)), lambda w: F.length(w) > 1)
     return F.reverse(F.sort_array(words))
 
@@ -241,27 +243,29 @@ def replace(docs: DataFrame, key: str = "quire", counts: bool = True) -> DataFra
     text without personal data stays as it is; of long texts all is read. Equal texts get equal results, so repeated rows and ids do.
     An empty table gives no rows.
     """
-    rows = C.packed(docs, F.col("text").alias("t"))
-    suspect = F.coalesce(_suspect(F.col("t")), F.lit(False))
-    first = rows.where(suspect).withColumn("h", F.regexp_extract_all("t", F.lit(ALL), F.lit(0)))
+    rows = C.packed(docs, F.col("text").alias("t"), F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))
+    first = rows.where(_suspect(F.col("t"))).select("t", "a", "b", F.regexp_extract_all("t", F.lit(ALL), F.lit(0)).alias("h")).where(F.size("h") > 0)
     alone = F.concat(F.lit(ALL + r"|(?<![\p{L}\p{N}'’-])(?:"), F.array_join("names", "|"), F.lit(r")(?![\p{L}\p{M}\p{N}'’-])"))
     some = first.withColumn("names", _names(F.col("h"))).withColumn("pattern", F.when(F.size("names") > 0, alone))
-    some = some.withColumn("hits", F.when(F.col("pattern").isNull(), F.col("h")).otherwise(F.call_function("regexp_extract_all", F.col("t"), F.col("pattern"), F.lit(0))))
-    texts = some.where(F.size("hits") > 0).select(F.xxhash64("t").alias("a"), F.xxhash64(F.lit(1), "t").alias("b"), F.array_distinct("hits").alias("h"))
-    values = C.cut(texts.select("a", "b", F.explode("h").alias("v")).select("a", "b", F.inline(_keys(F.col("v")))).distinct())
+    hits = F.when(F.col("pattern").isNull(), F.col("h")).otherwise(F.call_function("regexp_extract_all", F.col("t"), F.col("pattern"), F.lit(0)))
+    # once for equal texts
+    texts = some.select("a", "b", "pattern", F.transform(hits, lambda v: F.struct(v.alias("v"), _kind(v).alias("kind"))).alias("hits")).dropDuplicates(["a", "b"])
+    texts = C.cut(texts.withColumn("hits", F.transform("hits", lambda x: F.struct(x["v"].alias("v"), x["kind"].alias("kind"), _canon(x["kind"], x["v"]).alias("canon")))))
+    values = texts.select("a", "b", F.explode(F.array_distinct("hits")).alias("x"))
+    values = C.cut(values.select("a", "b", F.inline(_keys(F.col("x.v"), F.col("x.kind"), F.col("x.canon")))).distinct())
     # one gender for each given name
     seen = lambda g: F.max(F.when(F.col("gender") == g, 1).otherwise(0)) == 1
     told = values.groupBy("entity").agg(F.max("gender").alias("any"), seen("m").alias("m"), seen("f").alias("f"))
     gender = F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").otherwise("n")
-    full = F.when(F.col("any").isNull(), F.col("entity")).otherwise(F.regexp_replace("entity", r"^([^|]*)\|", F.concat(F.lit("$1_"), gender, F.lit("|"))))
+    full = F.when(F.col("any").isNull(), F.col("entity")).otherwise(F.concat(F.substring_index("entity", "|", 1), F.lit("_"), gender, F.lit("|"), F.expr("substring(entity, instr(entity, '|') + 1)")))
     told = C.cut(told.select("entity", full.alias("full")))
     mapping = told.join(surrogates(told.select(F.col("full").alias("entity")), key).withColumnRenamed("entity", "full"), "full").select("entity", "surrogate")
     found = values.select("a", "b", "entity").distinct().join(mapping, "entity").groupBy("a", "b").agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("found"))
-    hit = some.withColumn("a", F.xxhash64("t")).withColumn("b", F.xxhash64(F.lit(1), "t")).join(found, ["a", "b"], "left")
-    placed = F.transform("hits", lambda v: F.coalesce(_lay_out(v, F.col("found")), v))
+    mapped = lambda x: F.element_at(F.col("found"), F.concat(x["kind"], F.lit("|"), x["canon"]))
+    placed = texts.join(found, ["a", "b"]).withColumn("hits", F.transform("hits", lambda x: F.struct(x["v"].alias("v"), x["kind"].alias("kind"), x["canon"].alias("canon"), mapped(x).alias("mapped"))))
+    placed = C.cut(placed.select("a", "b", "pattern", F.transform("hits", lambda x: F.coalesce(_lay_out(x, F.col("found")), x["v"])).alias("placed")))
+    both = rows.join(C.small_side(placed, 20_000), ["a", "b"], "left")
     gaps = F.when(F.col("pattern").isNull(), F.split("t", ALL, -1)).otherwise(F.call_function("split", F.col("t"), F.col("pattern"), F.lit(-1)))
-    joined = F.array_join(F.zip_with(gaps, placed, lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
-    made = lambda n: {"n_entities": n} if counts else {}
-    changed = C.unpacked(hit, docs, F.when(F.col("found").isNull(), F.col("t")).otherwise(joined), made(F.size("hits").cast("long")))
-    plain = C.unpacked(rows.where(~suspect), docs, None, made(F.lit(0).cast("long")))
-    return plain.unionByName(changed)
+    joined = F.array_join(F.zip_with(gaps, F.col("placed"), lambda g, p: F.concat(g, F.coalesce(p, F.lit("")))), "")
+    text = F.when(F.col("placed").isNull(), F.col("t")).otherwise(joined)
+    return C.unpacked(both, docs, text, {"n_entities": F.coalesce(F.size("placed"), F.lit(0)).cast("long")} if counts else {})

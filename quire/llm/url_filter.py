@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import common as C
+
 #: Words of the lexicon besides those of the corpus, and labelled examples (one a line) that the classifier is trained on.
 LEXICON = (
     "about academy account ads adult article articles auto baby bank bet betting blog bonus book books business buy car cards care cash casino"
@@ -22,6 +24,8 @@ LEXICON = (
     " loss lucky mail market math media medicine money mortgage movie museum music nature net news now nude office offer offers online open order park"
     " payday pharma pharmacy photo pills play poker porn press prize pro project radio rapid recipe replica research review reviews rich rolex sale"
     " school science search seo service sex shop shopping site slots soft software spam sport sports store story stream support tech test text track tracker banner"
+    " amazon app apps art at biz british ca ch cloud co com content cool daily de dot east edu en engine es eu example express fi first fr gov group guru hub info io it jobs just king la land live mail map max mobile more nl no north"
+    " one org out paper pl plus post power real red school se server smart south space start state street team the time today up us user video west wiki with work works you your zone"
     " tickets tips top torrent tour trade traffic travel tube university viagra video warez watch water weather web weight wiki win winner world xxx"
 ).split()
 BAD = """cheap pills online
@@ -172,17 +176,21 @@ def train(counts: dict[str, int], bad: list[str] = BAD, good: list[str] = GOOD,
     return model
 
 
-def lexicon(pages: DataFrame, url: str = "url", share: float = 1e-6) -> dict[str, int]:
-    """On how many pages each word of 2 to 24 letters stands in the path or (with a column html) in the title.
+def lexicon(pages: DataFrame, url: str = "url", least: int = 2, longest: int = 24) -> dict[str, int]:
+    """On how many pages each word stands in the path or (with a column html) in the title, if it also stands within a host name.
 
-    Host names are left out: as words of their own they would never be split. Words on fewer than a share of all pages are
-    left out, which bounds the table by the mean number of words of a page over the share.
+    A word is a whole run of 2 to `longest` letters a-z, on `least` pages or more. Host names as such are left out: as words of their own they
+    would never be split. Words that no host name holds could split none; leaving them out bounds the table by the hosts' vocabulary.
     """
     title = F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1) if "html" in pages.columns else F.lit("")
     text = F.lower(F.concat_ws(" ", url_path(F.col(url)), title))
-    parts = pages.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit("[a-z]{2,24}"), F.lit(0)))).alias("w"))
-    counts = parts.groupBy("w").count()
-    return dict(counts.where(F.col("count") >= max(2, math.ceil(pages.count() * share))).toLocalIterator())
+    run = F.lit(f"(?<![a-z])[a-z]{{2,{longest}}}(?![a-z])")
+    parts = pages.select(F.explode(F.array_distinct(F.regexp_extract_all(text, run, F.lit(0)))).alias("w"))
+    counts = parts.groupBy("w").count().where(F.col("count") >= least)
+    names = pages.select(F.explode(F.regexp_extract_all(url_host(F.col(url)), F.lit("[a-z]{2,}"), F.lit(0))).alias("name")).distinct()
+    at = names.select("name", F.explode(F.sequence(F.lit(1), F.length("name") - 1)).alias("i"))
+    within = at.select(F.explode(F.transform(F.sequence(F.lit(2), F.least(F.lit(longest), F.length("name") - F.col("i") + 1)), lambda n: F.substring(F.col("name"), F.col("i"), n))).alias("w")).distinct()
+    return dict(counts.join(within, "w", "left_semi").toLocalIterator())
 
 
 def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
@@ -191,7 +199,7 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     A url that is null or has no :// has empty host and path, fits no rule, and is judged by the prior: allow. Columns of
     pages with one of these names are replaced. Repeated rows are judged each.
     """
-    model = train(lexicon(pages, url))
+    shared = pages.sparkSession.sparkContext.broadcast(train(lexicon(pages, url)))
     made = ["host", "path", "rule", "verdict", "block_odds", "words"]
     kept = [c for c in pages.columns if c not in made or c == url]
     host, path = url_host(F.col(url)), url_path(F.col(url))
@@ -200,13 +208,13 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     def score(hosts, paths):  # noqa: ANN001, ANN202
         import pandas as pd
 
+        model = shared.value
         rows = [(model.odds(h, p), " ".join(model.words(h) + model.words(p))) for h, p in zip(hosts, paths)]
         return pd.DataFrame(rows, columns=["odds", "words"])
 
     names = F.array(*(F.lit(r.name) for r in rules)) if rules else F.array().cast("array<string>")
     verdicts = F.array(*(F.lit(r.verdict) for r in rules)) if rules else F.array().cast("array<string>")
-    out = pages.select(*kept, host.alias("_host"), path.alias("_path"))
-    out = out.withColumn("_rule", rule_of(F.col("_host"), F.col("_path"), rules)).withColumn("_score", score("_host", "_path"))
-    by_rule = F.get(verdicts, F.col("_rule"))
-    by_words = F.when(F.col("_score.odds") > 0, "block").otherwise("allow")
-    return out.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.get(names, F.col("_rule")).alias("rule"), F.coalesce(by_rule, by_words).alias("verdict"), F.col("_score.odds").alias("block_odds"), F.col("_score.words").alias("words"))
+    out = pages.select(F.struct(*(pages[f"`{c}`"] for c in kept)).alias("row"), host.alias("host"), path.alias("path"))
+    out = out.select("*", rule_of(F.col("host"), F.col("path"), rules).alias("fits"), score("host", "path").alias("score"))
+    verdict = F.coalesce(F.get(verdicts, F.col("fits")), F.when(F.col("score.odds") > 0, "block").otherwise("allow"))
+    return out.select(*(C.own(c).alias(c) for c in kept), "host", "path", F.get(names, F.col("fits")).alias("rule"), verdict.alias("verdict"), F.col("score.odds").alias("block_odds"), F.col("score.words").alias("words"))
