@@ -9,7 +9,7 @@ does not hold are slots; the main text is the text of the slots.
 
 Which slots are menus, forms, adverts and so on the template can't tell where they differ from page to page: elements that HTML names so, and unmistakable class,
 id and role words, are left out. If the page marks its article (article, main or role=main), the slots within it are taken. If a
-template holds more than half of a page's own text, the host's pages are copies of one text, and nothing is taken for template there.
+template holds more than half of a marked article, the host's pages are copies of one text, and nothing in the article is taken for template.
 """
 
 from __future__ import annotations
@@ -213,7 +213,7 @@ def page_text(page: str, template: frozenset[int]) -> list[str]:
     close()
     inner = [(held, t) for inside, held, t in blocks if inside or not seen_main]
     slots = [t for held, t in inner if not held]
-    return slots if 2 * sum(map(len, slots)) >= sum(len(t) for _, t in inner) else [t for _, t in inner]
+    return slots if not seen_main or 2 * sum(map(len, slots)) >= sum(len(t) for _, t in inner) else [t for _, t in inner]
 
 
 def _batches(batches: Iterator[pa.RecordBatch], rows_of: Callable[..., Iterator[tuple]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:

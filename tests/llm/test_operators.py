@@ -127,6 +127,25 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept and got[i].component_id == i for i in (161, 162, 163, 164))
 
 
+def test_vectors_of_repeated_ids_and_extreme_doubles(spark):
+    rows = [(1, [1.0, 0, 0, 0], 1), (1, [0, 1.0, 0, 0], 1), (3, [1.0, 0.01, 0, 0], 1), (4, [0.01, 1.0, 0, 0], 1), (5, [1e300, 1e300, 0, 0], 2), (6, [1e-60, 1e-60, 0, 0], 2), (7, [1e-60, 1e-60], 2), (None, [1.0, 0, 0, 0], 1), (9, [1.0, None, 0, 0], 1)]
+    rows = [(a, [x if x is None else float(x) for x in b], c, 0) for a, b, c in rows]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep int")
+    got = sorted(tuple(r) for r in cap_dedup.link_vectors(table).collect() if r.vec_id is not None)
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (3, 1, 1, False), (4, 1, 1, False), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (9, 0, 9, True)]
+    assert cap_dedup.link_vectors(table.limit(0)).count() == 0
+
+
+def test_vectors_against_brute_force_on_a_hot_cluster(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.standard_normal((1, 64)) + 0.05 * rng.standard_normal((200, 64)), rng.standard_normal((300, 64))])
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in cap_dedup.link_vectors(table, block=64).collect()}
+    u = cap_dedup.unit(x)
+    want = (u @ u.T >= 0.98).sum(1) - 1
+    assert want.sum() > 10_000 and sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= n for i, n in enumerate(want))
+
+
 def test_vectors_share_filters_at_sizes_beyond_four_million():
     rng = np.random.default_rng(9)
     x, z = rng.standard_normal((2, 300, 64))
@@ -153,9 +172,32 @@ def test_surrogates(spark):
     assert sum(c if i % 2 == 0 else c * 2 - 9 * (c > 4) for i, c in enumerate(card)) % 10 == 0
     first, second = re.search(r"Mrs (\w+) (\w+) met Mr. (\w+);", got[1]).groups()[1:]
     assert first == second != "Miller" and re.search(r"[А-я]+ [А-я]+$", got[6]) and "Петров" not in got[6]
-    many = spark.createDataFrame([(f"ip|{i % 256}.{i // 256}.1.2",) for i in range(3000)] + [(f"given_latin_m|n{i}",) for i in range(200)], "entity string")
+    many = spark.createDataFrame([(f"ip|{i % 256}.{i // 256}.1.2",) for i in range(3000)] + [(f"given_latin_{'mf'[i % 2]}|n{i}",) for i in range(200)], "entity string")
     made = surrogates.surrogates(many, "k").collect()
-    assert len({(r.entity.split("|")[0], r.surrogate.lower()) for r in made}) == len(made) == 3200
+    assert len({(r.entity.split("|")[0].rstrip("_mf"), r.surrogate.lower()) for r in made}) == len(made) == 3200
+
+
+def test_surrogates_keep_persons_apart_and_together(spark):
+    rows = ["Dr. Anna Schmidt met Frau Anna Schmidt. Schmidt said hi to Anna.", "Contact John Smith, 12 Main Street, born 1980-02-03. Smith left.", "Mr Κώστας Γεωργίου; а.иванов@почта.рф", "hex " + "ab12" * 60, "Herr A" + "b" * 60 + " ok", "see (743) 555-3824", None, "", "clean " * 20_000, "Schmidt alone"]
+    table = spark.createDataFrame([(i % 8, t, 1, 2, "x") for i, t in enumerate(rows)], "doc_id long, text string, n_entities int, hits int, `a.b` string")
+    got = surrogates.replace(table)
+    assert got.columns == [*table.columns, "n_entities_1"] and surrogates.replace(table, counts=False).columns == table.columns
+    out = {r.n_entities_1 * 1000 + i: r for i, r in enumerate(got.collect())}
+    texts = [r.text for r in out.values()]
+    first = next(t for t in texts if t and "said hi to" in t)
+    m = re.fullmatch(r"Dr\. (\w+) (\w+) met Frau (\w+) (\w+)\. (\w+) said hi to (\w+)\.", first).groups()
+    assert m[0] == m[2] == m[5] != "Anna" and m[1] == m[3] == m[4] != "Schmidt" and m[0] in surrogates.GIVEN["latin", "f"]
+    second = next(t for t in texts if t and t.startswith("Contact"))
+    m = re.fullmatch(r"Contact (\w+) (\w+), (\d\d) (\w+) Street, born (\d{4})-(\d\d)-(\d\d)\. (\w+) left\.", second).groups()
+    assert m[1] == m[7] != "Smith" and "Main" not in second and "1980-02-03" not in second and 1 <= int(m[5]) <= 12 and 1 <= int(m[6]) <= 28
+    assert any(t and re.search(r"^Mr [Α-Ωα-ωά-ώΆ-Ώ]+ [Α-Ωα-ωά-ώ]+; [а-я]\.[а-я]+@[а-я]+\.рф$", t) for t in texts)
+    assert "clean " * 20_000 in texts and None in texts and "" in texts and "Schmidt alone" in texts and not any(t and ("ab12" in t or "bbb" in t or "555-3824" in t) for t in texts)
+    assert all((r.hits, r["a.b"], r.n_entities) == (2, "x", 1) for r in out.values()) and surrogates.replace(table.limit(0)).count() == 0
+
+
+def test_surrogates_of_a_used_up_format(spark):
+    made = surrogates.surrogates(spark.createDataFrame([(f"phone|{i}",) for i in range(1, 31)], "entity string"), "k").collect()
+    assert len({r.surrogate for r in made}) == len(made) == 30 and not {r.surrogate for r in made} & {str(i) for i in range(1, 31)}
 
 
 def test_quality(spark):
@@ -275,6 +317,14 @@ def test_packing(spark):
     assert packing.pack(docs(spark, []), PATH).count() == 0
 
 
+def test_packing_of_blank_runs_and_null_ids(spark):
+    rows = [(None, " " * 300_000), (1, " \n" * 200_000), (1, None), (None, "a b")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH, rounds=20).toPandas()
+    t = Tokenizer.from_file(PATH)
+    assert got.length.sum() == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in rows)
+    assert (got.groupby("sequence_id").length.sum() <= 2048).all() and got.offset.min() == 0
+
+
 def test_html(spark):
     page = "<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li>menu</ul></nav><div class='cookie-notice'>ok</div><article><h1>He&amp;ad</h1><p>one <b>two</b><p>three<br>four<script>var a='</p>'</script><form>f</form><div class=comments>bad</div></article><aside>s</aside><footer>&copy; f</footer></body></html>"
     bare = "<body><p>Boiler plate</p><p>story {}</p></body>"
@@ -284,6 +334,81 @@ def test_html(spark):
     assert got[1].text == got[2].text == "" and [got[i].text for i in range(3, 8)] == [f"story {i}" for i in range(3, 8)]
 
 
+def brute_template(pages):
+    """Texts of the valid classes, by the definition, for the pages of one host."""
+    lists = [html_extract.page_tokens(p) for p in dict.fromkeys(pages)]
+    vector = {t: tuple(x.count(t) for x in lists) for x in lists for t in x}
+    classes = {}
+    for t, v in vector.items():
+        if sum(n > 0 for n in v) >= 0.5 * len(lists):
+            classes.setdefault(v, set()).add(t)
+    classes = {v: c for v, c in classes.items() if len(c) > 1}
+    once = [v for v in classes if max(v) == 1]
+    root = classes[max(once, key=lambda v: (all(v), len(classes[v])))] if once else set()
+    out = set()
+    for v, c in classes.items():
+        orders, gaps = set(), set()
+        for x in lists:
+            own = [t for t in x if t in c]
+            if own:
+                period = list(dict.fromkeys(own))
+                orders.add(tuple(period) if own == period * (len(own) // len(period)) else object())
+                last, at = 0, set()
+                for t in x:
+                    if t in c:
+                        at.add(last)
+                    last = t if t in root else last
+                gaps.add(0 if c is root else frozenset(at))
+        if len(orders) == len(gaps) == 1:
+            out |= {t for t in c if t & 1}
+    return out
+
+
+def test_html_without_article_by_template(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    pages, want = [], []
+    for i in range(12):
+        story = [" ".join(word() for _ in range(12)) for _ in range(1 + i % 4)]
+        items = "".join(f"<div class=q><div>By</div><p>{x}</p><div>Read on</div></div>" for x in story)
+        pages.append(f"<html><body><div class=a><div>Our site</div><div>Start</div><div>All</div></div><div class=b>{items}</div><div class=c><div>Made by us</div></div></body></html>")
+        want.append("\n\n".join(story))
+    rows = [(i, f"http://h/{i}", p) for i, p in enumerate(pages)] + [(100, "http://h/again", pages[0]), (101, "http://two/1", pages[1]), (102, "http://two/2", pages[2]), (103, "http://one/", "<p>only</p>")]
+    rows += [(110 + i, f"http://copies/{i}", f"<body><div>Top</div><article><p>{'same long text ' * 20}</p><p>{i}</p></article></body>") for i in range(5)]
+    table = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, host int, template string")
+    got = {r.page_id: r.text for r in html_extract.main_text(table).collect()}
+    assert [got[i] for i in range(12)] == want and got[100] == want[0] and got[103] == "only" and "Our site" in got[101] and got[112].endswith("\n\n2") and "same long text" in got[112]
+    deduced = {r.host: set(r.template) for r in html_extract.deduce(table.selectExpr("split(url, '/')[2] host", "html")).collect()}
+    assert deduced["h"] == brute_template(pages) and not {"two", "one"} & set(deduced)
+    assert html_extract.main_text(table.limit(0)).count() == 0
+
+
+def test_html_drops_nothing_else_of_an_article(spark):
+    page = "<article><p class='related-work'>a</p><math>m</math><p hidden>b</p><p class='ad-box'>no</p><div id=comment-list>no</div><p class=notice>no</p><p>" + "long " * 50_000 + "</p></article><p>out</p>"
+    got = html_extract.main_text(spark.createDataFrame([(1, "http://a/", page)], "page_id int, url string, html string")).first()
+    assert got.text == "a\n\nm\n\nb\n\n" + ("long " * 50_000).strip()
+
+
+def test_url_filter_words_and_clashing_columns(spark):
+    rows = [(i, f"http://spam-farm.example.com/news/{i}", "<title>example spam farm tion</title>", 5, 6) for i in range(3)] + [(9, "http://exampletion.org/en/", None, 5, 6), (9, "x" * 5000 + "://" + "tion" * 2000 + ".net/", "", 5, 6)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, _host int, score int")
+    got = url_filter.judge(table, [])
+    assert got.columns == ["page_id", "url", "html", "_host", "score", "host", "path", "rule", "verdict", "block_odds", "words"]
+    got = got.orderBy("page_id").collect()
+    assert got[0].words == "spam farm example com news 0" and got[0].verdict == "block" and {r.words for r in got if r.url.startswith("http://ex")} == {"example tion org en"}
+    assert len(got) == 5 and all((r._host, r.score) == (5, 6) for r in got) and set(url_filter.lexicon(table)) == {"example", "spam", "farm", "tion"}
+
+
+def test_url_filter_bayes_by_brute_force():
+    model = url_filter.train({"tion": 3})
+    bad, good = ([w for line in x for w in line.split()] for x in (url_filter.BAD, url_filter.GOOD))
+    size = len({*bad, *good})
+    odds = math.log(len(url_filter.BAD) / len(url_filter.GOOD)) - math.log(3)
+    for w in ("spam", "farm", "news"):
+        odds += math.log((bad.count(w) + 1) / (len(bad) + size)) - math.log((good.count(w) + 1) / (len(good) + size))
+    assert abs(model.odds("spamfarm.tion", "/news/7") - odds) < 1e-9
+
+
 def test_bpe(spark):
     t = Tokenizer.from_file(PATH)
     rows = [*texts(20), "It's 3.14 <|endoftext|> ünïcode 日本 🎉\x00\r\n  ", "a" * 3000]
