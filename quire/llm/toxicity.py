@@ -12,7 +12,7 @@ of each clean text likewise (multiple-instance learning).
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, may_lear
     At most most_rows of each class (those with the lowest hashes of doc_id), no text of more than `longest` bytes, and of these as many,
     in the order of the hashes, as fit in most_bytes; the model learns from whole texts. Rows without a label, a doc_id or a text are not
     learnt from. Repeated labels of an id count once, the larger one; rows that repeat a doc_id are texts each, within the bounds. With
-    no rows, or those of one class only, every text with a word has the same score: the share of toxic labels, smoothed.
+    no rows, or those of one class only, every text has the same score: the share of toxic labels (0 without labels).
     """
     own = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     own = own.where(learnable(F.col("doc_id")) if may_learn is None else may_learn)
@@ -212,8 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = MOST_ROWS, may_lear
         yield pa.RecordBatch.from_arrays([pa.array([model.gram_odds.astype("<f4").tobytes()], pa.binary()), pa.array([model.bias])], ["odds", "bias"])
 
     found = rows.select("text", "toxic").mapInArrow(learn, "odds binary, bias double").collect()  # one row of 4 * BUCKETS bytes
-    model = Model(np.frombuffer(found[0].odds, "<f4"), found[0].bias) if found else train([], [])
-    return replace(model, empty=float(own.agg(F.avg("toxic")).first()[0] or 0.0))
+    share = float(own.agg(F.avg("toxic")).first()[0] or 0.0)
+    if not found or not np.frombuffer(found[0].odds, "<f4").any():
+        part = min(max(share, 1e-6), 1 - 1e-6)
+        return Model(np.zeros(BUCKETS), float(np.log(part / (1 - part))), empty=share)
+    return Model(np.frombuffer(found[0].odds, "<f4"), found[0].bias, empty=share)
 
 
 def _judged(docs: DataFrame, model: Model, schema: str | StructType, place: int, out: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> DataFrame:
