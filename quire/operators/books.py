@@ -1,14 +1,17 @@
 """Operators over sections(book_id, section_index, href, plain_text): one row for each section of each book of a corpus.
 
-All are built-in expressions. What concerns one section stays in its row; only what spans sections (locations, fingerprints)
+Nearly all are built-in expressions (literal search and TTS tokens scan Arrow batches). What concerns one section stays in its row; only what spans sections (locations, fingerprints)
 or the corpus (keywords, duplicates) shuffles, on book_id or the key, with partial aggregation.
 """
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +48,36 @@ def _hits(sections: DataFrame, gaps: Column, lengths: Column, around: int) -> Da
     return hit.select("book_id", F.col("section_index").cast("long").alias("spine_index"), "char_offset", T.cfi(F.col("section_index"), F.col("href"), a).alias("cfi"), snippet.alias("snippet"))
 
 
+_ESCAPED = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"})
+
+
 def search(sections: DataFrame, query: str, around: int = 40) -> DataFrame:
-    """Case-insensitive literal hits, left to right without overlap: (book_id, spine_index, char_offset, cfi, snippet). A blank query has none."""
-    if not query.strip():
-        return _hits(sections.limit(0), F.array(F.lit("")), F.array().cast("array<int>"), around)
-    low = F.lower("plain_text")
-    gaps = F.split(low, r"\Q" + query.lower() + r"\E", -1)
-    return _hits(sections.where(low.contains(query.lower())), gaps, F.array_repeat(F.lit(len(query)), F.size(gaps) - 1), around)
+    """Case-insensitive literal hits, left to right without overlap: (book_id, spine_index, char_offset, cfi, snippet). A blank query has none.
+
+    Sections without a hit never leave the JVM; the others are scanned once each, in time linear in their length and hits.
+    """
+    some, low = sections.where(F.lower("plain_text").contains(query.lower())) if query.strip() else sections.limit(0), query.lower()
+    schema = f"book_id {sections.schema['book_id'].dataType.simpleString()}, spine_index long, char_offset long, cfi string, snippet string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                index, href, text = (batch.column(c)[i].as_py() for c in (1, 2, 3))
+                folded, size, at, offsets = text.lower(), len(text), [], []
+                k = folded.find(low)
+                while k >= 0:
+                    at.append(k)
+                    k = folded.find(low, k + len(low))
+                esc = lambda x: x.translate(_ESCAPED)
+                head = f"epubcfi(/6/{2 * (index + 1)}{f'[{href}]' if href else ''}!/4/2/1:"
+                for lo in range(0, len(at), 10_000):
+                    part = at[lo : lo + 10_000]
+                    offsets = [f"{head}{a})" for a in part]
+                    snippets = [f"{'...' if a > around else ''}{esc(text[max(a - around, 0) : a])}<mark>{esc(text[a : a + len(low)])}</mark>{esc(text[a + len(low) : a + len(low) + around])}{'...' if a + len(low) + around < size else ''}" for a in part]
+                    ids = pa.repeat(batch.column(0)[i], len(part))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([index] * len(part), pa.int64()), pa.array(part, pa.int64()), pa.array(offsets, pa.string()), pa.array(snippets, pa.string())], ["book_id", "spine_index", "char_offset", "cfi", "snippet"])
+
+    return some.select("book_id", F.col("section_index").cast("long").alias("section_index"), "href", "plain_text").mapInArrow(run, schema)
 
 
 def search_regex(sections: DataFrame, pattern: str, around: int = 40) -> DataFrame:
@@ -65,9 +91,8 @@ def top_hits(hits: DataFrame, most: int = 500) -> DataFrame:
 
 
 def words(text: Column) -> Column:
-    """Words split at white space, without leading and trailing characters other than letters and digits."""
-    raw = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
-    return F.filter(raw, lambda w: w != "")
+    """Words split at white space, without leading and trailing characters other than letters and digits: one pass of one pattern."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?U)[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?"), F.lit(0))
 
 
 def analytics(sections: DataFrame) -> DataFrame:
@@ -193,11 +218,22 @@ def rag_chunks(sections: DataFrame, config: Chunking = Chunking()) -> DataFrame:
 
 
 def tts_tokens(sections: DataFrame) -> DataFrame:
-    """(book_id, section_index, token_index, word, start_char, end_char) of text whose white space is single blanks."""
-    w = F.split(F.trim(F.regexp_replace("plain_text", r"\s+", " ")), " ")
-    n = F.transform(w, lambda x: F.length(x) + 1)
-    each = sections.select("book_id", "section_index", F.posexplode(w).alias("token_index", "word"), n.alias("n")).select("*", F.aggregate(F.slice("n", F.lit(1), F.col("token_index")), F.lit(0), lambda a, x: a + x).alias("at"))
-    return each.where("word != ''").select("book_id", "section_index", F.col("token_index").cast("long").alias("token_index"), "word", F.col("at").cast("long").alias("start_char"), (F.col("at") + F.length("word")).cast("long").alias("end_char"))
+    """(book_id, section_index, token_index, word, start_char, end_char) of text whose white space is made single blanks; linear in its length."""
+    kinds = ", ".join(f"{c} {sections.schema[c].dataType.simpleString()}" for c in ("book_id", "section_index"))
+    text = F.trim(F.regexp_replace("plain_text", r"\s+", " "))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = (batch.column(2)[i].as_py() or "").split(" ")
+                ends = np.cumsum([len(w) + 1 for w in found]) - 1
+                for lo in range(0, len(found), 50_000):
+                    part = [k for k in range(lo, min(lo + 50_000, len(found))) if found[k]]
+                    stop = ends[part]
+                    size = np.array([len(found[k]) for k in part], np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(part)), pa.repeat(batch.column(1)[i], len(part)), pa.array(part, pa.int64()), pa.array([found[k] for k in part], pa.string()), pa.array(stop - size), pa.array(stop)], ["book_id", "section_index", "token_index", "word", "start_char", "end_char"])
+
+    return sections.select("book_id", "section_index", text.alias("t")).mapInArrow(run, f"{kinds}, token_index long, word string, start_char long, end_char long")
 
 
 def validation(books: DataFrame) -> DataFrame:
@@ -234,7 +270,10 @@ def _cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared checkpoint folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-checkpoint-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return df.checkpoint()
 
 

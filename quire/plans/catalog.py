@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import books as B
+from quire.plans import lookups
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -149,21 +150,17 @@ def cfi_round_trip(spark, d):  # noqa: ANN001, ANN201
     return made.select("*", T.cfi_spine_index(F.col("cfi")).alias("spine_index"), T.cfi_char_offset(F.col("cfi")).alias("char_offset"))
 
 
-@_query(f"""with w as (select book_id, regexp_split_to_array(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ') w from {_C.replace('turn::bigint si', '0 si').replace("from conversations", "from conversations where turn = 0")}),
-e as (select book_id, generate_subscripts(w, 1) - 1 k, unnest(w) word from w), a as (select *, (sum(length(word) + 1) over (partition by book_id order by k) - length(word) - 1)::bigint s from e)
-select book_id, 0::bigint section_index, k::bigint token_index, word, s start_char, (s + length(word))::bigint end_char from a where word <> ''""")
-def tts_tokens(spark, d):  # noqa: ANN001, ANN201
-    return B.tts_tokens(_conv(spark, d).where("section_index = 0").withColumn("section_index", F.col("section_index").cast("long")))
-
-
 @_query(f"""with w as (select book_id, si, regexp_split_to_array(trim(regexp_replace(t, '\\s+', ' ', 'g')), ' ') w from {_C}),
 e as (select book_id, si, generate_subscripts(w, 1) - 1 k, unnest(w) word from w), a as (select *, (sum(length(word) + 1) over (partition by book_id, si order by k) - length(word) - 1)::bigint s from e)
 select book_id, si section_index, k::bigint token_index, word, s start_char, (s + length(word))::bigint end_char from a where word <> ''""")
-def tts_tokens_all(spark, d):  # noqa: ANN001, ANN201
-    """Every turn; tts_tokens and its SQL have the first turns only."""
+def tts_tokens(spark, d):  # noqa: ANN001, ANN201
     return B.tts_tokens(_conv(spark, d).withColumn("section_index", F.col("section_index").cast("long")))
 
 
+# the name that the query over every turn had while tts_tokens had first turns only
+_QUERIES["tts_tokens_all"], _SQL["tts_tokens_all"] = tts_tokens, _SQL["tts_tokens"]
+
+
 @_query("""with b as (select conv_id book_id, min(case when turn = 0 then role end) title, count(*) n from conversations group by 1)
 select book_id, unnest(['PKG-002', 'PKG-003', 'PKG-004', 'NAV-001', 'A11Y-001']) code, unnest(['Warning', 'Warning', 'Info', 'Warning', 'Info']) severity from b""")
 def validation_report(spark, d):  # noqa: ANN001, ANN201
@@ -191,8 +188,8 @@ def labelled_stats(spark, d):  # noqa: ANN001, ANN201
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **lookups.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {**_SQL, **lookups.SQL}

@@ -43,7 +43,7 @@ def sniff(data: bytes, path: str = "") -> str:
         return "mobi"
     if data[:8] == b"ITOLITLS":
         return "lit"
-    if b"<FictionBook" in data[:4096]:
+    if b"<FictionBook" in data:
         return "fb2"
     try:
         text = data.decode("utf-8")
@@ -229,7 +229,7 @@ def markdown(data: bytes, title: str) -> tuple[dict, list[tuple[str, str]]]:
 
 def carved(data: bytes, title: str) -> tuple[dict, list[tuple[str, str]]]:
     """Readable runs of a container whose text is not otherwise addressed (KFX, LIT), in sections of about 18 KB."""
-    if b"$DRM" in data[:4096]:
+    if any(x in data for x in (b"$DRM", b"DRM_V1", b"DRM_V2", b"kfx_drm")):
         raise Unreadable("protected (DRM)")
     runs = [r.decode("utf-8", "replace").strip() for r in re.findall(rb"[\x09\x0a\x0d\x20-\x7e\x80-\xf4]{25,}", data)]
     sections, now = [], ""
@@ -251,7 +251,7 @@ def read_book(path: str, data: bytes) -> list[tuple]:
     try:
         kind = sniff(data, path)
         meta, sections = READERS[kind](data, title)
-    except (Unreadable, KeyError, IndexError, struct.error, ValueError) as e:
+    except Exception as e:  # noqa: BLE001  whatever is wrong with one file, the others are read
         return [(path, kind, title, [], None, None, None, None, None, f"{type(e).__name__}: {e}"[:300])]
     base = (path, kind, meta["title"], meta["creators"], meta.get("language"), meta.get("identifier"))
     return [(*base, i, href, html, None) for i, (href, html) in enumerate(sections)] or [(*base, None, None, None, "no sections")]
