@@ -152,7 +152,7 @@ def link_vectors(vectors: DataFrame, least: float = 0.98, n_codes: int = CODES,
     keyed = C.cut(rows.select("vec_id", "label", "e", F.when(F.coalesce(valid, F.lit(False)), F.xxhash64("label", "e")).alias("k1"), F.xxhash64("e", "label").alias("k2")))
     # equal vectors of a label are a class; k1 is its name
     classes = C.cut(keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("e").alias("e")))
-    sizes = classes.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n"))
+    sizes = C.small_side(C.cut(classes.groupBy(F.size("e").alias("dim")).agg(F.count("*").alias("n"))))  # a row for each length
     sized = classes.withColumn("dim", F.size("e")).join(sizes, "dim")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
