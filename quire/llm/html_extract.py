@@ -236,7 +236,7 @@ def deduce(pages: DataFrame, least_pages: int = LEAST_PAGES, share: float = SHAR
     rows = pages.select("host", page, "html").mapInArrow(lambda b: _batches(b, counted, schema), "host string, page long, token long, n long").distinct()
     part = F.xxhash64("page", "n")
     vector = [F.sum(x).alias(c) for c, x in (("v0", F.shiftrightunsigned(part, 32)), ("v1", part.bitwiseAND(F.lit((1 << 32) - 1))))]
-    tokens = rows.groupBy("host", "token").agg(F.count("*").alias("support"), F.max("n").alias("most"), *vector).join(sizes, "host").where(F.col("support") >= share * F.col("pages"))
+    tokens = rows.groupBy("host", "token").agg(F.count("*").alias("support"), F.max("n").alias("most"), *vector).join(C.small_side(C.cut(sizes)), "host").where(F.col("support") >= share * F.col("pages"))
     tokens = C.cut(tokens.select("host", "token", "support", "pages", "most", F.xxhash64("support", "v0", "v1").alias("class")))
     classes = tokens.groupBy("host", "class").agg(F.count("*").alias("size"), F.max("most").alias("most"), F.max(F.col("support") == F.col("pages")).alias("all")).where("size > 1")
     roots = classes.where("most = 1").groupBy("host").agg(F.max_by("class", F.struct("all", "size", "class")).alias("root"))
