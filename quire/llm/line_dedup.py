@@ -123,10 +123,12 @@ def duplicates(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     lines = C.cut(at.select("o", words.alias("w")))
     variants = _variants(lines)
     low = lambda test: F.min(F.when(test, F.col("o")))
-    keys = variants.groupBy("key").agg(F.min("o").alias("lo"), F.max("o").alias("hi"), low(F.col("kind") == 0).alias("whole"), low(F.col("kind") != 0).alias("other"))
-    keys = C.cut(keys.where("lo < hi").select("key", "whole", "other"))
-    met = variants.join(C.small_side(keys), "key").select("o", F.when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("other")).alias("p"))
-    pairs = C.cut(met.where("p < o").distinct())
+    keys = variants.groupBy("key").agg(F.count("*").alias("c"), F.min("o").alias("lo"), F.max("o").alias("hi"), F.min("kind").alias("kind"), low(F.col("kind") == 0).alias("whole"), low(F.col("kind") != 0).alias("other"))
+    keys = C.cut(keys.where("lo < hi and (kind = 2 or whole is not null)").drop("kind"))
+    # most keys have two variants and so name their pair; only those of more go back to their variants
+    many = C.cut(keys.where("c > 2").select("key", "whole", "other"))
+    met = variants.join(C.small_side(many), "key").select("o", F.when(F.col("kind") == 1, F.col("whole")).otherwise(F.col("other")).alias("p")).where("p < o")
+    pairs = C.cut(met.unionByName(keys.where("c = 2").select(F.col("hi").alias("o"), F.col("lo").alias("p"))).distinct())
     text = lambda x, w: lines.select(F.col("o").alias(x), F.col("w").alias(w))
     both = pairs.join(text("o", "x"), "o").join(text("p", "y"), "p")
     near = C.cut(both.where(one_edit(F.col("x"), F.col("y"))).select("o").distinct()).withColumn("near", F.lit(True))
