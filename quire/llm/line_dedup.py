@@ -145,10 +145,9 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS, counts: bool =
     without a word stay. Null text stays null with counts of 0, an empty text stays empty; a document may lose all its lines and then has
     an empty text. An empty table gives no rows; repeated rows each stay and get the same text.
     """
-    gone = C.cut(duplicates(docs, least_words).distinct())
-    by_document = gone.groupBy("document").agg(F.collect_set("line_no").alias("gone"))
-    by_document = F.broadcast(by_document) if gone.limit(C.BROADCAST_ROWS + 1).count() <= C.BROADCAST_ROWS else by_document
-    both = C.packed(docs, document_place(F.col("doc_id"), F.col("text")).alias("document"), F.split("text", "\n", -1).alias("lines")).join(by_document, "document", "left")
+    # what goes grows with the corpus, so this join shuffles whole texts (once, not their lines as well) at every size
+    by_document = duplicates(docs, least_words).groupBy("document").agg(F.collect_set("line_no").alias("gone"))
+    both = C.packed(docs, document_place(F.col("doc_id"), F.col("text")).alias("document")).join(by_document, "document", "left").withColumn("lines", F.split(C.own("text"), "\n", -1))
     left = F.array_join(F.filter("lines", lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
     count = F.when(F.col("lines").isNull(), 0).otherwise(F.size(F.filter("lines", lambda x: F.btrim(x, F.lit(_BLANKS)) != "")))
     lost = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone"))
