@@ -17,6 +17,7 @@ shuffle, however many lines share them. Candidates are verified on their words.
 Lines are first made distinct. Then a lossless test leaves most out: let h be the largest power of two that is half of the number of
 words at most. One edit leaves the first h words or the last h words as they are; a line that shares neither with any other distinct line
 is alike to none. (A number of words that is a power of two is tested with h / 2 also, as a line with a word less has that h.)
+Those that stay are tested again by quarters: an edit lies in one quarter of the longer line, and the other three are as they were.
 
 A line's place is one number made of doc_id, a hash of the whole text and line_no: its name and its rank.
 """
@@ -101,6 +102,28 @@ def _half(line: Column, h: Column) -> list[Column]:
     return [F.xxhash64(F.lit(side), h, F.call_function("substring_index", line, F.lit(" "), h if side == 0 else -h)) for side in (0, 1)]
 
 
+def _less_quarters(line: Column) -> list[Column]:
+    """Hashes of a line without one of its quarters, as the longer and as the shorter line of a pair: N words, or one less than N.
+
+    A quarter is a range of places of the longer line. What stands before it is counted from the start, what stands after it from the
+    end, so that a word put in or left out moves nothing.
+    """
+    n = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    out = []
+    for of in (n, n + 1):
+        for q in range(4):
+            before, after = (of * q / 4).cast("int"), of - (of * (q + 1) / 4).cast("int")
+            part = lambda words: F.call_function("substring_index", line, F.lit(" "), words)
+            out.append(F.xxhash64(F.lit(q), of, part(before), part(-after)))
+    return out
+
+
+def _sharing(ends: DataFrame) -> DataFrame:
+    """The distinct o of the rows (o, e) whose e belongs to more than one row."""
+    shared = C.cut(ends.groupBy("e").agg(F.count("*").alias("c")).where("c > 1").select("e"))
+    return C.cut(ends.join(C.small_side(shared), "e", "left_semi").select("o").distinct())
+
+
 def duplicates(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """(document, line_no) of the lines to leave out: those with an alike line at an earlier place.
 
@@ -115,12 +138,12 @@ def duplicates(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     twice = F.when((F.col("n") == 2 * F.col("h")) & (F.col("n") > least_words), F.expr("h div 2").cast("int"))
     halves = [F.when(x.isNotNull(), y).alias(f"e{k}{i}") for k, x in enumerate((F.col("h"), twice)) for i, y in enumerate(_half(F.col("line"), x))]
     distinct = C.cut(keyed.select("k1", "k2", "o", *halves).groupBy("k1", "k2").agg(F.min("o").alias("o"), F.max("o").alias("last"), *(F.max(c).alias(c) for c in ("e00", "e01", "e10", "e11"))))
-    ends = distinct.select("o", F.explode(F.array_compact(F.array("e00", "e01", "e10", "e11"))).alias("e"))
-    shared = C.cut(ends.groupBy("e").agg(F.count("*").alias("c")).where("c > 1").select("e"))
-    suspects = C.cut(ends.join(C.small_side(shared), "e", "left_semi").select("o").distinct())
-    words = F.split("line", " ", -1)
-    at = line.join(C.small_side(suspects), "o").where(F.size(F.filter(words, lambda w: F.btrim(w, F.lit(_BLANKS)) != "")) >= least_words)
-    lines = C.cut(at.select("o", words.alias("w")))
+    suspects = _sharing(distinct.select("o", F.explode(F.array_compact(F.array("e00", "e01", "e10", "e11"))).alias("e")))
+    # cut before the words are counted: the optimiser would count those of all lines, before the join
+    suspect = C.cut(line.join(C.small_side(suspects), "o").select("o", "line"))
+    worded = suspect.where(F.size(F.filter(F.split("line", " ", -1), lambda w: F.btrim(w, F.lit(_BLANKS)) != "")) >= least_words)
+    near_ones = _sharing(worded.select("o", F.explode(F.array(*_less_quarters(F.col("line")))).alias("e")))
+    lines = C.cut(suspect.join(C.small_side(near_ones), "o").select("o", F.split("line", " ", -1).alias("w")))
     variants = _variants(lines)
     low = lambda test: F.min(F.when(test, F.col("o")))
     keys = variants.groupBy("key").agg(F.count("*").alias("c"), F.min("o").alias("lo"), F.max("o").alias("hi"), F.min("kind").alias("kind"), low(F.col("kind") == 0).alias("whole"), low(F.col("kind") != 0).alias("other"))
