@@ -108,6 +108,54 @@ def cfi_steps(x: Column) -> Column:
     return F.transform(raw, lambda s: F.struct(F.regexp_extract(s, r"/(\d+)", 1).cast("long").alias("step"), F.nullif(F.regexp_extract(s, r"\[([^\]]*)\]", 1), F.lit("")).alias("id"), s.endswith("!").alias("indirect")))
 
 
+def _cfi_end(x: Column, end: int) -> tuple[Column, Column, Column]:
+    """(steps as text, digits of the character offset or null, whether x is well formed) of a point, or of an end (1, 2) of a range.
+
+    A range has three parts: the path that both ends begin with, then what each adds. Two parts are an error.
+    """
+    inner = F.regexp_replace(F.btrim(x), r"^epubcfi\((.*)\)$", "$1")
+    parts = F.split(inner, ",", -1)
+    own = F.when(F.size(parts) == 1, F.get(parts, F.lit(0))).otherwise(F.get(parts, F.lit(end)))
+    step = r"/\d+(?:\[[^\]]*\]?)?!?"
+    whole = F.when(F.size(parts) == 1, own).otherwise(F.concat(F.get(parts, F.lit(0)), own))
+    offsets = F.regexp_extract_all(F.regexp_replace(own, step, ""), F.lit(r":(\d+)"), F.lit(1))
+    return F.regexp_extract_all(whole, F.lit(step), F.lit(0)), F.get(offsets, F.size(offsets) - 1), F.size(parts) != 2
+
+
+def cfi_point(x: Column, end: int = 1) -> Column:
+    """The address written out anew; of a range its start, or (end = 2) its end as an address of its own. Null if x has two parts."""
+    steps, offset, right = _cfi_end(x, end)
+    number = lambda s: F.regexp_extract(s, r"^/0*(\d+)", 1)
+    name = lambda s: F.when(F.contains(s, F.lit("[")), F.concat(F.lit("["), F.regexp_extract(s, r"\[([^\]]*)", 1), F.lit("]"))).otherwise("")
+    path = F.array_join(F.transform(steps, lambda s: F.concat(F.lit("/"), number(s), name(s), F.when(s.endswith("!"), "!").otherwise(""))), "")
+    tail = F.coalesce(F.concat(F.lit(":"), F.regexp_extract(offset, r"^0*(\d+)", 1)), F.lit(""))
+    return F.when(right, F.concat(F.lit("epubcfi("), path, tail, F.lit(")")))
+
+
+def cfi_is_range(x: Column) -> Column:
+    return F.size(F.split(x, ",", -1)) >= 3
+
+
+def cfi_element(x: Column) -> Column:
+    """The id of the last step that names one; null without."""
+    return F.nullif(F.regexp_extract(cfi_point(x), r"^.*\[([^\]]*)\]", 1), F.lit(""))
+
+
+def cfi_selector(x: Column) -> Column:
+    """A CSS selector: the last named element, then the children by number below it; body if there is no step to select by."""
+    steps, _, right = _cfi_end(x, 1)
+
+    def part(s: Column) -> Column:
+        number = F.regexp_extract(s, r"^/(\d+)", 1).try_cast("long")
+        named = F.concat(F.lit("#"), F.regexp_extract(s, r"\[([^\]]*)", 1))
+        child = F.concat(F.lit("*:nth-child("), F.floor(number / 2).cast("string"), F.lit(")"))
+        return F.when(F.contains(s, F.lit("[")), named).when(~s.endswith("!") & (number >= 2), child)
+
+    start = F.array(F.lit(None).cast("string"))
+    below = F.aggregate(F.filter(F.transform(steps, part), lambda c: c.isNotNull()), F.slice(start, 1, 0), lambda a, c: F.when(c.startswith("#"), F.array(c)).otherwise(F.array_append(a, c)))
+    return F.when(right, F.when(F.size(below) == 0, "body").otherwise(F.array_join(below, " > ")))
+
+
 def clock_seconds(x: Column) -> Column:
     """SMIL clock values: h:m:s, m:s, or a number with h, m or s; "100ms" counts its digits as seconds, as in the format's tests."""
     t = F.trim(x)

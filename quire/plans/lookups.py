@@ -84,6 +84,16 @@ def cfi_parse(spark, d):  # noqa: ANN001, ANN201
     return cfi.select("book_id", "si", F.inline(T.cfi_steps(F.col("cfi"))))
 
 
+@_query(f"""select book_id, si, 'epubcfi(/6/' || (2 * (si + 1)) || '[' || href || ']!/4/2/1:3)' range_start, 'epubcfi(/6/' || (2 * (si + 1)) || '[' || href || ']!/4/2/1/2:' || length(t) || ')' range_end,
+true is_range, href as element, '#' || href || ' > *:nth-child(2) > *:nth-child(1)' selector from {_C}""")
+def cfi_ranges(spark, d):  # noqa: ANN001, ANN201
+    conv = _conv(spark, d)
+    path = F.concat(F.lit("epubcfi(/6/"), ((F.col("section_index") + 1) * 2).cast("string"), F.lit("["), F.col("href"), F.lit("]!/4/2/1,:3,/2:"), F.length("plain_text").cast("string"), F.lit(")"))
+    made = conv.select("book_id", F.col("section_index").cast("long").alias("si"), path.alias("cfi"))
+    cfi = F.col("cfi")
+    return made.select("book_id", "si", T.cfi_point(cfi).alias("range_start"), T.cfi_point(cfi, 2).alias("range_end"), T.cfi_is_range(cfi).alias("is_range"), T.cfi_element(cfi).alias("element"), T.cfi_selector(cfi).alias("selector"))
+
+
 @_query("""with t as (select conv_id book_id, turn::bigint node_id, role label from conversations),
 f as (select book_id, node_id, label, node_id depth, string_agg(label, ' > ') over (partition by book_id order by node_id) breadcrumb from t)
 select * from f where contains(lower(label), 'user')""")

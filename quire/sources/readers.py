@@ -187,7 +187,10 @@ def mobi(data: bytes, title: str) -> tuple[dict, list[tuple[str, str]]]:
             named.setdefault(kind, []).append(head[place + 8 : place + size].decode("utf-8", "replace"))
             place += max(size, 8)
     text = raw.decode("utf-8", "replace").replace("\x00", "")
-    parts = [p for p in re.split(r"(?i)<mbp:pagebreak[^>]*>", text) if p.strip()] or [text]
+    parts = [p for p in re.split(r"(?i)<mbp:pagebreak[^>]*>", text) if p.strip()]
+    if len(parts) < 2:  # no page breaks: a section begins at each heading beyond the first 200 bytes
+        starts = [m.start() for m in re.finditer(r"(?i)<h[123]", text) if m.start() > 200 or len(text[: m.start()].encode()) > 200]
+        parts = [p for i, j in zip([0, *starts], [*starts, len(text)]) if (p := text[i:j]).strip()] or [text]
     meta = {"title": (named.get(503) or [data[:32].split(b"\0")[0].decode("latin-1") or title])[0], "creators": named.get(100, []), "language": (named.get(524) or [None])[0]}
     return meta, [(f"section_{i}.html", p) for i, p in enumerate(parts)]
 

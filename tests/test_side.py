@@ -7,6 +7,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from quire.functions import markup as M
+from quire.functions import text as T
 from quire.operators import reading as R
 from quire.sources import readers, side
 
@@ -113,3 +114,17 @@ def test_broken_files_do_not_fail_the_job():
     for name, content in (("a.odt", bytes(data)), ("b.fb2", b" " * 5000 + nested), ("c.kfx", b"CONT" + b"x" * 5000 + b"DRM_V1")):
         (row,) = readers.read_book(name, content)
         assert row[-1], name
+
+
+def test_cfi_ranges_and_selectors(spark):
+    cases = [
+        ("epubcfi(/6/4[c]!/4/2,/1:10,/3:45)", "epubcfi(/6/4[c]!/4/2/1:10)", "epubcfi(/6/4[c]!/4/2/3:45)", "#c > *:nth-child(2) > *:nth-child(1)", "c"),
+        (" /6/04!/4[a:7]/10:007 ", "epubcfi(/6/4!/4[a:7]/10:7)", "epubcfi(/6/4!/4[a:7]/10:7)", "#a:7 > *:nth-child(5)", "a:7"),
+        ("epubcfi(/4/2,:1)", None, None, None, None),
+        ("", "epubcfi()", "epubcfi()", "body", None),
+        (None, None, None, None, None),
+    ]
+    x = F.col("cfi")
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, cfi string")
+    got = df.select("i", T.cfi_point(x), T.cfi_point(x, 2), T.cfi_selector(x), T.cfi_element(x)).orderBy("i").collect()
+    assert [tuple(r)[1:] for r in got] == [c[1:] for c in cases]
