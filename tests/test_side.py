@@ -1,6 +1,7 @@
 """Side documents, markup and lookups on small cases."""
 
 import io
+import struct
 import zipfile
 import zlib
 
@@ -128,3 +129,16 @@ def test_cfi_ranges_and_selectors(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, cfi string")
     got = df.select("i", T.cfi_point(x), T.cfi_point(x, 2), T.cfi_selector(x), T.cfi_element(x)).orderBy("i").collect()
     assert [tuple(r)[1:] for r in got] == [c[1:] for c in cases]
+
+
+def test_mobi_sections_by_heading():
+    def book(text):
+        head = struct.pack(">HHIHHHH", 1, 0, len(text), 1, 4096, 0, 0)
+        at = [78 + 2 * 8, 78 + 2 * 8 + len(head)]
+        return b"A book".ljust(76, b"\0") + struct.pack(">H", 2) + b"".join(struct.pack(">II", a, 0) for a in at) + head + text
+
+    intro = "<h1>Title</h1>" + "é" * 100
+    of = lambda text: [p for _, p in readers.mobi(book(text.encode()), "t")[1]]
+    assert of(intro + "<H2>One</H2>a<h4>x</h4> <h3>Two</h3>b") == [intro, "<H2>One</H2>a<h4>x</h4> ", "<h3>Two</h3>b"]
+    assert of("<h1>T</h1>a<h2>b</h2>") == ["<h1>T</h1>a<h2>b</h2>"]
+    assert of(intro + "<mbp:pagebreak/>" + intro + "<h2>c</h2>") == [intro, intro + "<h2>c</h2>"]
