@@ -66,6 +66,14 @@ def image_mime(content: Column) -> Column:
     return F.when(head.startswith("89504E47"), "image/png").when(head.startswith("47494638"), "image/gif").when(head.startswith("52494646") & head.endswith("57454250"), "image/webp").otherwise("image/jpeg")
 
 
+def book_uuid(title: Column) -> Column:
+    """An identifier of version 4's form that a title alone decides: its MD5 with the nibbles of version and variant set."""
+    h = F.md5(title.cast("binary"))
+    part = lambda a, n: F.substring(h, a, n)
+    variant = F.translate(part(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+    return F.concat(part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12))
+
+
 def normalize_path(path: Column) -> Column:
     """Backslashes to slashes; empty parts and . vanish, .. takes a part back."""
     parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")

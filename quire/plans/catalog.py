@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import books as B
-from quire.plans import lookups
+from quire.plans import lookups, parts
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -188,8 +188,8 @@ def labelled_stats(spark, d):  # noqa: ANN001, ANN201
 
 
 def queries() -> dict[str, Query]:
-    return {**_QUERIES, **lookups.QUERIES}
+    return {**_QUERIES, **lookups.QUERIES, **parts.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**_SQL, **lookups.SQL}
+    return {**_SQL, **lookups.SQL, **parts.SQL}

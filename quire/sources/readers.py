@@ -6,10 +6,12 @@ Binary parsing is per file, in Arrow batches; a broken or protected file never f
 from __future__ import annotations
 
 import base64
+import hashlib
 import io
 import posixpath
 import re
 import struct
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from html import escape
@@ -19,7 +21,7 @@ from xml.etree import ElementTree
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-SCHEMA = "path string, format string, title string, creators array<string>, language string, identifier string, section_index int, href string, raw_html string, error string"
+SCHEMA = "path string, format string, title string, creators array<string>, language string, identifier string, section_index int, href string, raw_html string, publisher string, pub_date string, direction string, error string"
 #: Bytes of one archive member, and of all.
 ENTRY_LIMIT, TOTAL_LIMIT = 200_000_000, 500_000_000
 
@@ -103,8 +105,10 @@ def epub(data: bytes, title: str) -> tuple[dict, list[tuple[str, str]]]:
     spine = [manifest[i] for e in _all(package, "itemref") if (i := e.get("idref")) in manifest]
     folded = {k.lower(): v for k, v in files.items()}
     sections = [(h, folded[h.lower()].decode("utf-8", "replace")) for h in spine if h.lower() in folded]
-    meta = {"title": ": ".join(of("title")) or title, "creators": of("creator"), "language": (of("language") or [None])[0], "identifier": (of("identifier") or [None])[0]}
-    return meta, sections
+    way = [e.get("page-progression-direction") for e in _all(package, "spine")][-1:]
+    first = lambda name: (of(name) or [None])[0]
+    meta = {"title": ": ".join(of("title")) or title, "creators": of("creator"), "language": first("language"), "identifier": first("identifier"), "publisher": first("publisher"), "pub_date": (of("date") or [None])[-1]}
+    return meta | {"direction": way[0] if way and way[0] in ("rtl", "ltr") else "default"}, sections
 
 
 def fb2(data: bytes, title: str) -> tuple[dict, list[tuple[str, str]]]:
@@ -187,14 +191,55 @@ def mobi(data: bytes, title: str) -> tuple[dict, list[tuple[str, str]]]:
             named.setdefault(kind, []).append(head[place + 8 : place + size].decode("utf-8", "replace"))
             place += max(size, 8)
     text = raw.decode("utf-8", "replace").replace("\x00", "")
+    text = _linked(text, {k: name for k, name, _ in mobi_images(data)})
     parts = [p for p in re.split(r"(?i)<mbp:pagebreak[^>]*>", text) if p.strip()]
     if len(parts) < 2:  # no page breaks: a section begins at each heading beyond the first 200 bytes
         starts = [m.start() for m in re.finditer(r"(?i)<h[123]", text) if m.start() > 200 or len(text[: m.start()].encode()) > 200]
         parts = [p for i, j in zip([0, *starts], [*starts, len(text)]) if (p := text[i:j]).strip()] or [text]
-    meta = {"title": (named.get(503) or [data[:32].split(b"\0")[0].decode("latin-1") or title])[0], "creators": named.get(100, []), "language": (named.get(524) or [None])[0]}
+    at, size = struct.unpack_from(">II", head, 84) if head[16:20] == b"MOBI" and len(head) >= 92 else (0, 0)
+    full = head[at : at + size].decode("utf-8", "replace").strip("\0 ") if size else ""
+    first = lambda kind: (named.get(kind) or [None])[0]
+    language = first(524)
+    meta = {"title": first(503) or full or data[:32].split(b"\0")[0].decode("latin-1") or title, "creators": named.get(100, []), "language": language, "publisher": first(101), "pub_date": first(106)}
+    meta["direction"] = "rtl" if (language or "").lower().startswith(("ar", "he", "fa", "ur")) else "ltr"
     return meta, [(f"section_{i}.html", p) for i, p in enumerate(parts)]
 
 
+#: How image records begin, and their file extensions.
+IMAGES = ((b"\xff\xd8\xff", "jpg"), (b"\x89PNG\r\n\x1a\n", "png"), (b"GIF87a", "gif"), (b"GIF89a", "gif"), (b"RIFF....WEBP", "webp"), (b"BM", "bmp"))
+
+
+def mobi_images(data: bytes) -> list[tuple[int, str, bytes]]:
+    """(number, path, bytes) of the image records: number 1 is the record that the header names as the first image."""
+    count = struct.unpack_from(">H", data, 76)[0]
+    starts = [struct.unpack_from(">I", data, 78 + 8 * i)[0] for i in range(count)] + [len(data)]
+    head = data[starts[0] : starts[1]] if count else b""
+    if head[16:20] != b"MOBI" or len(head) < 112:
+        return []
+    first, out = max(struct.unpack_from(">I", head, 108)[0], 1), []
+    for r in range(first, count):
+        content = data[starts[r] : starts[r + 1]]
+        ext = next((e for magic, e in IMAGES if re.match(b".".join(re.escape(x) for x in magic.split(b".")), content, re.S)), None)
+        if ext:
+            k = r - first + 1
+            out.append((k, f"images/img_{k:04}.{ext}", content))
+    return out
+
+
+def _linked(html: str, images: dict[int, str]) -> str:
+    """HTML whose references to image records (recindex, kindle:embed, numbered files) are paths; others stay."""
+
+    def path(m: re.Match, widths: tuple[int, ...]) -> str | None:
+        k = int(m["k"])
+        return images.get(k) if m["k"] in {f"{k:0{w}}" for w in widths} else None
+
+    if not images:
+        return html
+    html = re.sub(r'recindex="(?P<k>\d{1,9})"', lambda m: f'src="{p}"' if (p := path(m, (1, 5))) else m[0], html)
+    html = re.sub(r"kindle:embed:(?P<k>\d{1,9})", lambda m: path(m, (1, 4, 5)) or m[0], html)
+    return re.sub(r'src="(?P<k>\d{1,9})\.jpg"', lambda m: f'src="{p}"' if (p := path(m, (1, 4, 5))) else m[0], html)
+
+
 def plain(data: bytes, title: str) -> tuple[dict, list[tuple[str, str]]]:
     """Paragraphs between blank lines; Title, Author and Language lines among the first 15."""
     text = data.decode("utf-8", "replace").replace("\r\n", "\n")
@@ -255,14 +300,15 @@ def read_book(path: str, data: bytes) -> list[tuple]:
         kind = sniff(data, path)
         meta, sections = READERS[kind](data, title)
     except Exception as e:  # noqa: BLE001  whatever is wrong with one file, the others are read
-        return [(path, kind, title, [], None, None, None, None, None, f"{type(e).__name__}: {e}"[:300])]
+        return [(path, kind, title, [], None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"[:300])]
     base = (path, kind, meta["title"], meta["creators"], meta.get("language"), meta.get("identifier"))
-    return [(*base, i, href, html, None) for i, (href, html) in enumerate(sections)] or [(*base, None, None, None, "no sections")]
+    also = (meta.get("publisher"), meta.get("pub_date"), meta.get("direction", "default"))
+    return [(*base, i, href, html, *also, None) for i, (href, html) in enumerate(sections)] or [(*base, None, None, None, *also, "no sections")]
 
 
 def parse(files: DataFrame) -> DataFrame:
     """files(path, content) as rows of SCHEMA."""
-    kinds = [pa.string()] * 3 + [pa.list_(pa.string())] + [pa.string()] * 2 + [pa.int32()] + [pa.string()] * 3
+    kinds = [pa.string()] * 3 + [pa.list_(pa.string())] + [pa.string()] * 2 + [pa.int32()] + [pa.string()] * 6
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.rsplit(" ", 1)[0] for x in SCHEMA.split(", ")]
@@ -279,13 +325,18 @@ def read_books(spark: SparkSession, path: str) -> DataFrame:
     return parse(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
+def book_uuid(title: str) -> str:
+    """As functions.text.book_uuid()."""
+    return str(uuid.UUID(bytes=hashlib.md5(title.encode()).digest(), version=4))
+
+
 def write_epub(title: str, creators: list[str], language: str | None, sections: list[tuple[str, str]]) -> bytes:
     """An EPUB 3 file of (label, html) sections, with a navigation document."""
     out, parts = io.BytesIO(), list(enumerate(sections))
     items = "".join(f'<item id="s{i}" href="sec_{i}.xhtml" media-type="application/xhtml+xml"/>' for i, _ in parts)
     spine = "".join(f'<itemref idref="s{i}"/>' for i, _ in parts)
     links = "".join(f'<li><a href="sec_{i}.xhtml">{escape(label)}</a></li>' for i, (label, _) in parts)
-    dc = f"<dc:title>{escape(title)}</dc:title>" + "".join(f"<dc:creator>{escape(c)}</dc:creator>" for c in creators) + f"<dc:language>{escape(language or 'en')}</dc:language>"
+    dc = f'<dc:identifier id="id">urn:uuid:{book_uuid(title)}</dc:identifier>' + f"<dc:title>{escape(title)}</dc:title>" + "".join(f"<dc:creator>{escape(c)}</dc:creator>" for c in creators) + f"<dc:language>{escape(language or 'en')}</dc:language>"
     with zipfile.ZipFile(out, "w") as z:
         put = lambda name, text, how=zipfile.ZIP_DEFLATED: z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), text, how)
         put("mimetype", "application/epub+zip", zipfile.ZIP_STORED)
